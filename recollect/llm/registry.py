@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op1
+from .toxicity import op9
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1}
+    return {"op1_language_id": op1, "op9_toxicity": op9}
 
 
 def oracle_sql() -> dict:
