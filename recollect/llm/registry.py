@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .language_id import op1
+from .simhash import op10
 from .toxicity import op9
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1, "op9_toxicity": op9}
+    return {"op1_language_id": op1, "op9_toxicity": op9, "op10_simhash": op10}
 
 
 def oracle_sql() -> dict:
