@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2
 from .language_id import op1
 from .simhash import op10
 from .toxicity import op9
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1, "op9_toxicity": op9, "op10_simhash": op10}
+    return {"op1_language_id": op1, "op2_decontaminate": op2, "op9_toxicity": op9, "op10_simhash": op10}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontaminate": OP2_SQL}
