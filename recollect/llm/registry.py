@@ -10,11 +10,12 @@ from .sharding import op7
 from .simhash import op10
 from .token_counts import op4
 from .toxicity import op9
+from .warc import OP6_SQL, op6
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1, "op2_decontaminate": op2, "op3_chat_format": op3, "op4_token_counts": op4, "op7_sharding": op7, "op8_packing": op8, "op9_toxicity": op9, "op10_simhash": op10}
+    return {"op1_language_id": op1, "op2_decontaminate": op2, "op3_chat_format": op3, "op4_token_counts": op4, "op6_warc": op6, "op7_sharding": op7, "op8_packing": op8, "op9_toxicity": op9, "op10_simhash": op10}
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": OP2_SQL, "op3_chat_format": OP3_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_chat_format": OP3_SQL, "op6_warc": OP6_SQL}
