@@ -10,11 +10,13 @@ are joined on an equal segment with a shared key of the next, and verified bit b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -144,6 +146,99 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+WIDE = 256
+
+
+def sketch(text: bytes | None, width: int, keys: int) -> tuple[bytes, list[int]]:
+    """A wide fingerprint over shingles of ``width`` words, and the ``keys`` smallest of their hashes as signed longs."""
+    words = text.lower().split() if text else []
+    if not words:
+        return bytes(WIDE // 8), []
+    join, digest = b" ".join, xxhash.xxh3_128_digest
+    width = min(width, len(words))
+    total, n, least = np.zeros(WIDE, dtype=np.int64), len(words) - width + 1, np.zeros(0, dtype=np.int64)
+    for at in range(0, n, 20_000):
+        part = words[at : min(at + 20_000, n) + width - 1]
+        raw = b"".join([digest(s) + digest(s, 1) for s in map(join, zip(*(part[i:] for i in range(width)), strict=False))])
+        rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDE // 8)
+        total += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+        least = np.unique(np.r_[least, np.frombuffer(raw, dtype="<i8").reshape(-1, WIDE // 64)[:, 0]])[:keys]
+    return np.packbits(2 * total > n).tobytes(), least.tolist()
+
+
+def with_sketches(docs: DataFrame, text: str, width: int, keys: int) -> DataFrame:
+    """``docs`` with ``sketch``, a struct of ``wide`` and ``keys``."""
+    shared.bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<wide binary, keys array<long>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [sketch(x, width, keys) for x in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["wide", "keys"])
+
+    return docs.withColumn("sketch", of(F.col(text).cast("binary")))
+
+
+def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs (leader, follower) of rows: each row follows the first leader at ``most`` differing bits or fewer, or becomes one."""
+    found: list[tuple[int, int]] = []
+    lead = np.zeros((64, wide.shape[1]), dtype=np.uint64)
+    rows: list[int] = []
+    for n, row in enumerate(wide):
+        if rows:
+            near = np.flatnonzero(np.bitwise_count(lead[: len(rows)] ^ row).sum(axis=1) <= most)
+            if len(near):
+                found += [(rows[x], n) for x in near.tolist()]
+                continue
+        if len(rows) == len(lead):
+            lead = np.vstack([lead, np.zeros_like(lead)])
+        lead[len(rows)] = row
+        rows.append(n)
+    return found
+
+
+def similar_links(nodes: DataFrame, similarity: float, bucket: int = 2_000) -> DataFrame:
+    """Edges ``(a, b)`` among ``nodes(fp, sketch)`` whose shingles are estimated to be ``similarity`` alike or more.
+
+    Nodes that share one of their smallest shingle hashes meet. In a bucket of more than
+    ``bucket`` nodes those meet that share another one as well. A bucket's nodes are compared
+    with its leaders only, so a large group of copies costs in proportion to its size.
+    """
+    most = int(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi + 1)
+    spread = nodes.select("fp", "sketch.wide", F.col("sketch.keys").alias("all"), F.explode("sketch.keys").alias("key"))
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = spread.join(sizes, "key")
+    finer = F.expr(f"CASE WHEN n <= {bucket} OR size(all) = 1 THEN array(key) ELSE transform(filter(all, k -> k <> key), k -> xxhash64(least(k, key), greatest(k, key))) END")
+    met = sized.select("fp", "wide", F.explode(finer).alias("key"))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("fp").drop_duplicates("fp")
+        wide = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), -1)
+        fp = frame["fp"].to_numpy()
+        pairs = np.array(leaders_of(wide, most), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+
+    return met.groupBy("key").applyInPandas(one, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, keys: int = 4) -> DataFrame:
+    """``(doc_id, component_id)``: near duplicates under two tests, fingerprints at two bits or fewer and wide fingerprints.
+
+    Two bits of 64 only hold nearly equal texts, so texts whose shingles of ``width`` words are
+    ``similarity`` alike, as a fingerprint of 256 bits estimates, are linked as well. Nulls,
+    empty texts, repeated rows and ids are treated as by ``near_duplicates``.
+    """
+    marked = with_sketches(with_fingerprints(docs.select("doc_id", "text")), "text", width, keys)
+    found = shared.settled(marked.select("doc_id", "fp", "sketch"))
+    nodes = shared.settled(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("sketch", F.struct("doc_id", "sketch.wide")).alias("sketch")))
+    groups = shared.components(links(nodes.select("fp")).unionByName(similar_links(nodes, similarity))).withColumnRenamed("node", "fp")
+    reached = nodes.select("fp", "least").join(groups, "fp")
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = reached.join(least, "component").select("fp", "component_id")
+    of_fp = nodes.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return found.select("doc_id", "fp").join(of_fp, "fp").select("doc_id", "component_id")
+
+
 def op10(spark, sf_dir):
     found = near_duplicates(shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
