@@ -197,6 +197,12 @@ def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
     return found
 
 
+def most_bits(similarity: float, margin: float = 1.5) -> int:
+    """Differing bits of wide fingerprints expected at a Jaccard similarity, and ``margin`` standard errors more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * p + margin * math.sqrt(WIDE * p * (1 - p)))
+
+
 def similar_links(nodes: DataFrame, similarity: float, bucket: int = 2_000) -> DataFrame:
     """Edges ``(a, b)`` among ``nodes(fp, sketch)`` whose shingles are estimated to be ``similarity`` alike or more.
 
@@ -204,7 +210,7 @@ def similar_links(nodes: DataFrame, similarity: float, bucket: int = 2_000) -> D
     ``bucket`` nodes those meet that share another one as well. A bucket's nodes are compared
     with its leaders only, so a large group of copies costs in proportion to its size.
     """
-    most = int(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi + 1)
+    most = most_bits(similarity)
     spread = nodes.select("fp", "sketch.wide", F.col("sketch.keys").alias("all"), F.explode("sketch.keys").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = spread.join(sizes, "key")
