@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("recollect.queries.documents",)
+MODULES: tuple[str, ...] = ("recollect.queries.documents", "recollect.queries.facts", "recollect.queries.vectors", "recollect.queries.graph")
 
 
 def _merged(attribute: str) -> dict:

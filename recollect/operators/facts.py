@@ -132,7 +132,10 @@ def subtype_keyed(assertions: DataFrame) -> DataFrame:
         out["subject"], out["type"] = key[0], key[1]
         return out[[c.split()[0] for c in SUBTYPE_EDGES.split(", ")]]
 
-    columns = shaped(assertions).select("seq", "ts", "subject", "type", "object", "subtype", "confidence")
+    # The order may be of any sortable type; its number within the group is what the fold needs.
+    number = F.row_number().over(Window.partitionBy("subject", "type").orderBy("seq")).alias("seq")
+    columns = shaped(assertions).select(number, "ts", "subject", "type", "object", "subtype", "confidence")
+    columns = columns.withColumns({c: F.col(c).cast("string") for c in ("subject", "object")})
     return columns.groupBy("subject", "type").applyInPandas(one, SUBTYPE_EDGES)
 
 

@@ -129,13 +129,13 @@ def brand_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' parts by brand; a part has one brand, so windows suffice for the subtype-keyed class."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
     return l.select(
-        F.struct("o_orderdate", "l_orderkey", "l_linenumber").alias("seq"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("subject"),
+        F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey").alias("seq"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("subject"),
         F.lit("HAS_PREFERENCE").alias("type"), F.col("l_partkey").alias("object"), F.col("p_brand").alias("subtype"),
     )
 
 
 BRANDS = """a AS (
-  SELECT o_orderdate AS ts, l_orderkey AS k, l_linenumber AS j, o_custkey AS subject, l_partkey AS object, p_brand AS subtype
+  SELECT o_orderdate AS ts, l_orderkey AS k, (l_linenumber, l_shipdate, l_partkey) AS j, o_custkey AS subject, l_partkey AS object, p_brand AS subtype
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
