@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,6 @@ def numbered_turns(docs: DataFrame, session_id: str) -> DataFrame:
     for part, count in sorted((r["part"], r["count"]) for r in sizes):
         before[part] = n
         n += count
-    from pyspark.sql import Window
-
     start = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part")) if before else F.lit(0)
     number = start + F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1
     return ordered.withColumns({"session_id": F.lit(session_id), "turn_id": F.concat(F.lit("t"), number.cast("string"))}).drop("part")
