@@ -45,15 +45,17 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
             reached = reached.select(*by, "node").distinct()
         frontier = reached.join(seen, [*by, "node"], "left_anti")
         if h < hops:
-            frontier = frontier.checkpoint() if _has_checkpoint(frontier) else frontier.cache()
+            frontier = held(frontier)
             seen = seen.unionByName(frontier.select(*by, "node"))
         new = frontier.withColumn("distance", F.lit(h))
         found = new if found is None else found.unionByName(new)
     return found.withColumnRenamed("node", "target")
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept for several uses: in the session's checkpoint folder if it has one, else in its cache."""
+    has = not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    return df.checkpoint() if has else df.cache()
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

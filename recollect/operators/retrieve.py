@@ -74,7 +74,8 @@ def search(
     distance and id. Chunks come with ``query_id, chunk_id, sim, rank``.
     """
     seeds, hits = seeds_of(memory, queries, seed_k)
-    alive = hydrate(seeds, memory.entities, memory.relations)
+    # A few rows for each query, which the traversal and the scoring both start from.
+    alive = graph.held(hydrate(seeds, memory.entities, memory.relations))
     live = memory.relations.where("valid_until IS NULL")
     step = F.struct(F.col("edge_id").cast("string").alias("edge_id"), "type", "subtype", "confidence", "access_count", F.col("last_accessed").cast("string").alias("last_accessed"))
     paths = graph.shortest_paths(alive.select("query_id", F.col("entity_id").alias("seed")), live, hops, step, ["query_id"])
