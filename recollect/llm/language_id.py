@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -152,7 +152,7 @@ class LanguageModel:
 class WordCache:
     """Rows of word scores per worker; emptied when full."""
 
-    def __init__(self, model: LanguageModel, limit: int = 400_000) -> None:
+    def __init__(self, model: LanguageModel, limit: int = 300_000) -> None:
         self.model, self.limit = model, limit
         self.row: dict[str, int] = {}
         self.scores = np.zeros((limit, len(model.languages)), dtype=np.float64)
@@ -215,15 +215,30 @@ def fit(
         .groupBy("lang", "word")
         .count()
     )
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")))
-    top = ranked.where(F.col("rank") <= words_per_language).toPandas()
+    # Each language keeps its most frequent words. How many words have each count is a short list, which tells from
+    # where on all are kept, and of the first count that doesn't fit which share, drawn by a hash.
+    counted = shared.settled(counted)
+    steps = counted.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values(["lang", "count"], ascending=[True, False])
+    enough = F.lit(False)
+    for lang, own in steps.groupby("lang"):
+        room = words_per_language
+        for n, words in zip(own["count"], own["words"], strict=True):
+            part = min(1.0, room / words)
+            last = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(part * (1 << 20))
+            if part < 1.0:
+                enough = enough | ((F.col("lang") == lang) & ((F.col("count") > int(n)) | ((F.col("count") == int(n)) & last)))
+                break
+            room -= words
+        else:
+            enough = enough | (F.col("lang") == lang)
+    top = counted.where(enough).toPandas()
     languages = sorted(top["lang"].unique())
     if not languages:
         return None
     vocabulary = PieceVocabulary.load(vocabulary_path or public_vocabulary())
     columns = []
     for language in languages:
-        own = top[top["lang"] == language].sort_values("rank")
+        own = top[top["lang"] == language].sort_values(["count", "word"], ascending=[False, True])
         words = [w[:48] for w in own["word"]]
         counts = own["count"].to_numpy(dtype=float)
         lengths = np.array([len(x) for x in vocabulary.index] + [1], dtype=float)
