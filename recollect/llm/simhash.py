@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     named = reached.join(least, "component").select("fp", "component_id")
     of_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    # Between two written tables a frequent fingerprint's partition can be split.
+    return found.join(shared.settled(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 WIDE = 256
@@ -167,16 +168,21 @@ def sketch(text: bytes | None, width: int, keys: int) -> tuple[bytes, list[int]]
 
 
 def with_sketches(docs: DataFrame, text: str, width: int, keys: int) -> DataFrame:
-    """``docs`` with ``sketch``, a struct of ``wide`` and ``keys``."""
+    """``docs`` with ``fp``, the fingerprint, and ``sketch``, a struct of ``wide`` and ``keys``; one function makes all, so that a text goes to one Python worker once."""
     shared.bound_batches(docs.sparkSession)
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
-    @F.arrow_udf("struct<wide binary, keys array<long>>")
+    @F.arrow_udf("struct<fp long, wide binary, keys array<long>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [sketch(x, width, keys) for x in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["wide", "keys"])
+            texts = batch.to_pylist()
+            fps = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+            found = [sketch(x, width, keys) for x in texts]
+            columns = [fps, [w for w, _ in found], [k for _, k in found]]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["fp", "wide", "keys"])
 
-    return docs.withColumn("sketch", of(F.col(text).cast("binary")))
+    made = docs.withColumn("made", of(F.col(text).cast("binary")))
+    return made.withColumns({"fp": F.col("made.fp"), "sketch": F.struct("made.wide", "made.keys")}).drop("made")
 
 
 def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -234,7 +240,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     ``similarity`` alike, as a fingerprint of 256 bits estimates, are linked as well. Nulls,
     empty texts, repeated rows and ids are treated as by ``near_duplicates``.
     """
-    marked = with_sketches(with_fingerprints(docs.select("doc_id", "text")), "text", width, keys)
+    marked = with_sketches(docs.select("doc_id", "text"), "text", width, keys)
     found = shared.settled(marked.select("doc_id", "fp", "sketch"))
     nodes = shared.settled(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("sketch", F.struct("doc_id", "sketch.wide")).alias("sketch")))
     groups = shared.components(links(nodes.select("fp")).unionByName(similar_links(nodes, similarity))).withColumnRenamed("node", "fp")
@@ -242,7 +248,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     named = reached.join(least, "component").select("fp", "component_id")
     of_fp = nodes.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.select("doc_id", "fp").join(of_fp, "fp").select("doc_id", "component_id")
+    return found.select("doc_id", "fp").join(shared.settled(of_fp), "fp").select("doc_id", "component_id")
 
 
 def op10(spark, sf_dir):
