@@ -9,6 +9,7 @@ are joined through their concurrent-to identifiers, in one nested row for each c
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -73,7 +74,7 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file_bytes: int = 24_000_000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes three records for each row of ``pages(page_id, url, html)`` into files of about ``file_bytes`` under ``folder``.
+    """Writes three records for each row of ``pages(page_id, url, html)`` into gzip files of about ``file_bytes`` before compression under ``folder``.
 
     The payload is the html in UTF-8; a null one is empty, a null url becomes ``urn:none``.
     Among equal payloads of ``least_bytes`` or more the largest page_id is the response and
@@ -110,11 +111,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file
         _record("metadata", _urn(F.lit("metadata"), F.col("page_id"), F.col("digest"), F.col("copy")), url, date, "application/warc-fields", fields, concurrent),
     )
     per_file = max(3, int(3 * file_bytes / (mean + 1_500)))
-    known.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    known.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes, keep_blocks: bool) -> Iterator[tuple]:
-    """Records of an uncompressed archive, by their lengths. Raises ValueError where a record doesn't begin."""
+    """Records of an archive, compressed or not, by their lengths. Raises ValueError where a record doesn't begin."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         end = content.find(b"\r\n\r\n", at)
