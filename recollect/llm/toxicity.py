@@ -36,9 +36,8 @@ OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 
 
 def code(letter: str) -> int:
-    """Class of a letter: a-z without its accents, else one of five."""
-    base = unicodedata.normalize("NFKD", letter)[0]
-    return ord(base) - 97 if "a" <= base <= "z" else OTHER + ord(base) % (ALPHABET - OTHER)
+    """Class of a letter: a-z, else one of five."""
+    return ord(letter) - 97 if "a" <= letter <= "z" else OTHER + ord(letter) % (ALPHABET - OTHER)
 
 
 _CODES = {chr(c): c - 97 for c in range(97, 123)}
@@ -82,12 +81,13 @@ def word_values(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 def features(words: list[str]) -> np.ndarray:
     """Explicit normalised features; for landmarks only."""
-    found = np.zeros((len(words), ALPHABET**3))
+    found = np.zeros((len(words), ALPHABET**3), dtype=np.float32)
     square = np.zeros(len(words))
     for owner, sequence, weight in occurrences(words):
         np.add.at(found, (owner, sequence), weight)
         square += weight * weight * np.bincount(owner, minlength=len(words))
-    return found / np.sqrt(np.maximum(square, 1e-12))[:, None]
+    found /= np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
+    return found
 
 
 def kernel(words: list[str], landmarks: np.ndarray, step: int = 1_000) -> np.ndarray:
@@ -146,7 +146,7 @@ class ToxicityModel:
 
     @property
     def key(self) -> str:
-        return hashlib.sha1(self.weights.tobytes()).hexdigest()
+        return hashlib.sha1(self.weights.tobytes() + repr((self.bias, self.floor)).encode()).hexdigest()
 
     def values(self, words: list[str]) -> np.ndarray:
         return word_values(words, self.weights) + self.bias
@@ -155,20 +155,29 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30))))
 
 
+def plain(token: str) -> list[str]:
+    """The token's letters without accents, where it has some."""
+    if token.isascii():
+        return []
+    bare = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+    return LETTERS.findall(bare)
+
+
 def units(token: str) -> list[str]:
-    """Words that a white-space token may stand for: its runs of letters, and all its letters with look-alikes read as letters."""
+    """Words that a white-space token may stand for: its runs of letters, also without accents, and all its letters with look-alikes read as letters."""
     runs = LETTERS.findall(token)
     if not runs or (len(runs) == 1 and len(runs[0]) == len(token)):
-        return runs
+        return runs + plain(token)
     core = token.strip("!?.,;:\"'()[]{}<>-")
     joined = "".join(LETTERS.findall(core.translate(LOOKALIKES)))
-    return [*runs, joined] if joined != runs[0] else runs
+    found = [*runs, joined] if joined != runs[0] else runs
+    return found + plain(token)
 
 
 class TokenCache:
     """Values of tokens per worker; emptied when full."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 500_000) -> None:
+    def __init__(self, model: ToxicityModel, limit: int = 300_000) -> None:
         self.model, self.limit = model, limit
         self.value: dict[str, float] = {}
 
@@ -233,32 +242,37 @@ def mangled(word: str, rng: random.Random) -> str:
     return word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
 
 
-def train_words(positive: list[str], negative: list[str], landmarks: int = 160, cost: float = 4.0, seed: int = 7) -> ToxicityModel:
-    """The machine over words, each class with the same weight; inserted-letter variants of positive words are trained on too.
+def train_words(positive: list[str], negative: list[str], counts: list[int] | None = None, landmarks: int = 160, cost: float = 1.0, seed: int = 7) -> ToxicityModel:
+    """The machine over words; inserted-letter variants of positive words are trained on too.
 
-    Half of the landmarks are positive words. The others are negative words: common ones at
-    first, then, in a second fit, those that the first one takes for the most toxic.
+    ``positive`` comes in the order of ``counts``, whose square roots weigh the words, variants
+    half as much; both classes weigh the same in all. Half of the landmarks are positive words.
+    The others are negative words: the first ones at first, then, in a second fit, those
+    that the first one takes for the most toxic.
     """
     rng = random.Random(seed)
-    variants = [mangled(w, rng) for w in positive for _ in range(3) if len(w) > 3]
-    words = positive + variants + negative
-    y = np.r_[np.ones(len(positive) + len(variants)), -np.ones(len(negative))]
-    weight = np.where(y > 0, 1 / max(1, int((y > 0).sum())), 1 / max(1, len(negative))) * 500
+    of = np.sqrt(np.array(counts or [1] * len(positive), dtype=float))
+    of = np.maximum(of / np.median(of), 0.5)
+    pairs = [(mangled(w, rng), x / 4) for w, x in zip(positive, of, strict=True) for _ in range(2) if len(w) > 3]
+    words = positive + [w for w, _ in pairs] + negative
+    y = np.r_[np.ones(len(positive) + len(pairs)), -np.ones(len(negative))]
+    plus = np.r_[of, [x for _, x in pairs]]
+    weight = np.r_[plus * max(1.0, 2_000 / plus.sum()), np.full(len(negative), max(1.0, 2_000 / max(1, len(negative))))]
     others = negative
     for _ in range(2):
         chosen = positive[: landmarks // 2]
         chosen = chosen + others[: landmarks - len(chosen)]
         basis = features(chosen)
-        values, vectors = np.linalg.eigh(basis @ basis.T)
+        values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         w, bias = squared_hinge(kernel(words, basis) @ root, y, weight, cost)
-        model = ToxicityModel(basis.T @ (root @ w), bias)
+        model = ToxicityModel((basis.T @ (root @ w).astype(np.float32)).astype(float), bias)
         others = [negative[i] for i in np.argsort(-model.values(negative))]
     return model
 
 
-def fit(train: DataFrame, sample_documents: int = 12_000, words_per_class: int = 12_000, chance: float = 0.05, share: float = 0.5) -> ToxicityModel | None:
+def fit(train: DataFrame, sample_documents: int = 12_000, words_per_class: int = 8_000, chance: float = 0.05, share: float = 0.5) -> ToxicityModel | None:
     """A model from ``train(doc_id, text, toxic)``; None without labels of both kinds or without a word that marks toxic sentences.
 
     ``sample_documents`` bounds the labelled documents learned from, drawn by a hash of the id,
@@ -266,7 +280,8 @@ def fit(train: DataFrame, sample_documents: int = 12_000, words_per_class: int =
     sentences, a place being the words before and after, so that copies of a sentence count once.
     A word is toxic if ``share`` of its places at least are in sentences of toxic documents and
     its likelihood ratio against the overall rate would come about by chance for fewer than
-    ``chance`` of all words together; other words of clean documents are not.
+    ``chance`` of all words together; other words of clean documents are not. A first machine
+    picks among all of these the ones it takes for the most toxic, for the final one to learn.
     """
     spark = train.sparkSession
     rows = train.where("text IS NOT NULL AND toxic IS NOT NULL")
@@ -284,13 +299,18 @@ def fit(train: DataFrame, sample_documents: int = 12_000, words_per_class: int =
     surprise = 2 * (F.when(b > 0, b * F.log(b / ((b + g) * base))).otherwise(0.0) + F.when(g > 0, g * F.log(g / ((b + g) * (1 - base)))).otherwise(0.0))
     bad = (b >= share * (b + g)) & (surprise >= 2 * math.log(all_words / chance))
     kept = counted.withColumn("label", F.when(bad, 1).when(F.col("good") >= 1, 0)).where("label IS NOT NULL")
-    positive = [r.word for r in kept.where("label = 1").orderBy(F.desc("bad"), "word").limit(words_per_class).collect()]
+    worst_words = kept.where("label = 1").orderBy(F.desc("bad"), "word").limit(words_per_class).collect()
+    positive, counts = [r.word for r in worst_words], [r.bad for r in worst_words]
     often = [r.word for r in kept.where("label = 0").orderBy(F.desc("good"), "word").limit(words_per_class // 2).collect()]
     drawn = [r.word for r in kept.where("label = 0").orderBy(F.xxhash64("word"), "word").limit(words_per_class).collect()]
     negative = list(dict.fromkeys([*often[:40], *drawn[:40], *often, *drawn]))
     if not positive or not negative:
         return None
-    model = train_words(positive, negative)
+    model = train_words(positive, negative, counts)
+    # The clean words that this machine takes for the most toxic are learned from too.
+    scored = kept.where("label = 0").select("word", _worst_udf(spark, model)("word").alias("value"))
+    hard = [r.word for r in scored.orderBy(F.desc("value"), "word").limit(words_per_class // 3).collect()]
+    model = train_words(positive, list(dict.fromkeys([*hard, *negative])), counts)
     scored = rows.select("toxic", F.round(_worst_udf(spark, model)("text"), 3).alias("value")).groupBy("toxic", "value").count().toPandas()
     if scored["toxic"].nunique() < 2:
         return None
