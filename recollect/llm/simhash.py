@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .embedding_dedup import forest
 
 SEED = 42
 #: Fixed value: generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -150,39 +151,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WIDE = 256
 
 
-def sketch(text: bytes | None, width: int, keys: int) -> tuple[bytes, list[int]]:
-    """A wide fingerprint over shingles of ``width`` words, and the ``keys`` smallest of their hashes as signed longs."""
+def shingle_digests(text: bytes | None, width: int, wide: bool) -> Iterator[np.ndarray]:
+    """A row of bytes for each shingle of ``width`` words, a bounded number at a time: its hash of eight bytes, filled up to 16 bytes or to those of a wide fingerprint."""
     words = text.lower().split() if text else []
     if not words:
-        return bytes(WIDE // 8), []
+        return
     join, digest = b" ".join, xxhash.xxh3_128_digest
     width = min(width, len(words))
-    total, n, least = np.zeros(WIDE, dtype=np.int64), len(words) - width + 1, np.zeros(0, dtype=np.int64)
+    n = len(words) - width + 1
     for at in range(0, n, 20_000):
         part = words[at : min(at + 20_000, n) + width - 1]
-        raw = b"".join([digest(s) + digest(s, 1) for s in map(join, zip(*(part[i:] for i in range(width)), strict=False))])
-        rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDE // 8)
-        total += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-        least = np.unique(np.r_[least, np.frombuffer(raw, dtype="<i8").reshape(-1, WIDE // 64)[:, 0]])[:keys]
-    return np.packbits(2 * total > n).tobytes(), least.tolist()
+        shingles = map(join, zip(*(part[i:] for i in range(width)), strict=False))
+        raw = b"".join([digest(s) + digest(s, 1) for s in shingles] if wide else [digest(s) for s in shingles])
+        yield np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDE // 8 if wide else 16)
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order."""
+    parts = [np.unique(np.ascontiguousarray(rows[:, :8]).view("<i8")) for rows in shingle_digests(text, width, False)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+
+
+def sketch(text: bytes | None, width: int, keys: int) -> tuple[bytes, list[int], int, int]:
+    """A wide fingerprint over distinct shingles of ``width`` words, the ``keys`` smallest of their hashes, a hash of all of them, as signed longs, and their number."""
+    total, seen = np.zeros(WIDE, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for rows in shingle_digests(text, width, True):
+        found, first = np.unique(np.ascontiguousarray(rows[:, :8]).view("<i8").ravel(), return_index=True)
+        if len(seen):
+            new = ~np.isin(found, seen, assume_unique=True)
+            found, first = found[new], first[new]
+        total += np.unpackbits(rows[first], axis=1).sum(axis=0, dtype=np.int64)
+        seen = np.union1d(seen, found) if len(seen) else found
+    every = int(np.array(xxhash.xxh3_64_intdigest(seen.tobytes()), dtype=np.uint64).view(np.int64))
+    return np.packbits(2 * total > len(seen)).tobytes(), seen[:keys].tolist(), every, len(seen)
 
 
 def with_sketches(docs: DataFrame, text: str, width: int, keys: int) -> DataFrame:
-    """``docs`` with ``fp``, the fingerprint, and ``sketch``, a struct of ``wide`` and ``keys``; one function makes all, so that a text goes to one Python worker once."""
+    """``docs`` with ``fp``, the fingerprint, and ``wide``, ``keys``, ``every`` and ``n`` of the sketch; one function makes all, so that a text goes to one Python worker once."""
     shared.bound_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["fp", "wide", "keys", "every", "n"]
 
-    @F.arrow_udf("struct<fp long, wide binary, keys array<long>>")
+    @F.arrow_udf("struct<fp long, wide binary, keys array<long>, every long, n long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = batch.to_pylist()
             fps = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
             found = [sketch(x, width, keys) for x in texts]
-            columns = [fps, [w for w, _ in found], [k for _, k in found]]
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["fp", "wide", "keys"])
+            columns = [fps, *([x[n] for x in found] for n in range(4))]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     made = docs.withColumn("made", of(F.col(text).cast("binary")))
-    return made.withColumns({"fp": F.col("made.fp"), "sketch": F.struct("made.wide", "made.keys")}).drop("made")
+    return made.withColumns({name: F.col(f"made.{name}") for name in names}).drop("made")
 
 
 def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -203,51 +223,104 @@ def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
     return found
 
 
-def most_bits(similarity: float, margin: float = 1.5) -> int:
+def most_bits(similarity: float, margin: float = 5) -> int:
     """Differing bits of wide fingerprints expected at a Jaccard similarity, and ``margin`` standard errors more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(WIDE * p + margin * math.sqrt(WIDE * p * (1 - p)))
 
 
-def similar_links(nodes: DataFrame, similarity: float, bucket: int = 2_000) -> DataFrame:
-    """Edges ``(a, b)`` among ``nodes(fp, sketch)`` whose shingles are estimated to be ``similarity`` alike or more.
-
-    Nodes that share one of their smallest shingle hashes meet. In a bucket of more than
-    ``bucket`` nodes those meet that share another one as well. A bucket's nodes are compared
-    with its leaders only, so a large group of copies costs in proportion to its size.
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, step: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets of distinct hashes, one of each side, whose Jaccard similarity is ``similarity`` or more."""
+    sides = []
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    for sets in (left, right):
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        shared_too = common[at] == values if len(common) else np.zeros(len(values), dtype=bool)
+        at, rows = at[shared_too], rows[shared_too]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], rows[order], len(sets)))
+    both = np.zeros((len(left), len(right)))
+    for first in range(0, len(common), step):
+        blocks = []
+        for at, rows, size in sides:
+            lo, hi = np.searchsorted(at, [first, first + step])
+            block = np.zeros((size, min(step, len(common) - first)), dtype=np.float32)
+            block[rows[lo:hi], at[lo:hi] - first] = 1
+            blocks.append(block)
+        both += blocks[0] @ blocks[1].T
+    n_a, n_b = (np.array([len(x) for x in sets]) for sets in (left, right))
+    return np.nonzero(both / (n_a[:, None] + n_b - both) >= similarity)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: int, bucket: int = 2_000) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints whose texts' shingles are ``similarity`` alike or more.
+
+    ``nodes(every, fp, t, wide, keys, n)`` are the distinct sets of shingles and ``docs(t, text)`` have a
+    text of each. Nodes that share one of their smallest shingle hashes meet; in a bucket of more than ``bucket``
+    nodes those meet that share another one as well. Numbers of
+    shingles and wide fingerprints only tell which nodes may have a link in a tile; these come again with
+    the shingles of their texts, which decide. A tile gives a spanning forest of its links.
     """
-    most = most_bits(similarity)
-    spread = nodes.select("fp", "sketch.wide", F.col("sketch.keys").alias("all"), F.explode("sketch.keys").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = spread.join(sizes, "key")
-    finer = F.expr(f"CASE WHEN n <= {bucket} OR size(all) = 1 THEN array(key) ELSE transform(filter(all, k -> k <> key), k -> xxhash64(least(k, key), greatest(k, key))) END")
-    met = sized.select("fp", "wide", F.explode(finer).alias("key"))
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("fp").drop_duplicates("fp")
+    spread = nodes.select("every", "fp", "t", "wide", "n", F.col("keys").alias("all"), F.explode("keys").alias("key"))
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    finer = F.expr(f"CASE WHEN met <= {bucket} OR size(all) = 1 THEN array(key) ELSE transform(filter(all, k -> k <> key), k -> xxhash64(least(k, key), greatest(k, key))) END")
+    place = ["key", "c1", "c2"]
+    met = spread.join(sizes, "key").select(F.explode(finer).alias("key"), *(F.lit(0).alias(c) for c in ("c1", "c2", "side")), "every", "fp", "t", "wide", "n").distinct()
+
+    def sides_of(key: tuple, frame: pd.DataFrame) -> tuple[bool, list[pd.DataFrame]]:
+        same = key[1] == key[2]
+        return same, [frame] * 2 if same else [frame[frame["side"] == s] for s in (0, 1)]
+
+    def near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("fp")
         wide = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), -1)
-        fp = frame["fp"].to_numpy()
-        pairs = np.array(leaders_of(wide, most), dtype=np.int64).reshape(-1, 2)
+        has = sorted({x for pair in leaders_of(wide, most_bits(similarity)) for x in pair})
+        return frame.iloc[has][[*place, "side", "every", "fp", "t"]]
+
+    may = shared.settled(met.groupBy(*place).applyInPandas(near, "key long, c1 int, c2 int, side int, every long, fp long, t long"))
+
+    @F.arrow_udf("binary")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_hashes(x, width).tobytes() for x in batch.to_pylist()], pa.binary())
+
+    texts = docs.groupBy("t").agg(F.first("text").alias("text")).join(may.select("every", "t").distinct(), "t")
+    sets = texts.select("every", hashed(F.col("text").cast("binary")).alias("set"))
+
+    def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        same, sides = sides_of(key, frame)
+        listed = [[np.frombuffer(x, dtype=np.int64) for x in side["set"]] for side in sides]
+        if not listed[0] or not listed[1]:
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = alike(*listed, similarity)
+        fp = sides[0]["fp"].to_numpy() if same else np.r_[sides[0]["fp"].to_numpy(), sides[1]["fp"].to_numpy()]
+        pairs = np.array(forest(len(fp), i, j if same else j + len(listed[0])), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
-    return met.groupBy("key").applyInPandas(one, "a long, b long").distinct()
+    return may.drop("t").join(sets, "every").groupBy(*place).applyInPandas(linked, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, keys: int = 4) -> DataFrame:
-    """``(doc_id, component_id)``: near duplicates under two tests, fingerprints at two bits or fewer and wide fingerprints.
+    """``(doc_id, component_id)``: near duplicates under two tests, fingerprints at two bits or fewer and shared shingles.
 
-    Two bits of 64 only hold nearly equal texts, so texts whose shingles of ``width`` words are
-    ``similarity`` alike, as a fingerprint of 256 bits estimates, are linked as well. Nulls,
-    empty texts, repeated rows and ids are treated as by ``near_duplicates``.
+    Two bits of 64 only hold nearly equal texts, so texts whose distinct shingles of ``width`` words
+    have a Jaccard similarity of ``similarity`` are linked as well. Nulls, empty texts, repeated
+    rows and ids are treated as by ``near_duplicates``.
     """
-    marked = with_sketches(docs.select("doc_id", "text"), "text", width, keys)
-    found = shared.settled(marked.select("doc_id", "fp", "sketch"))
-    nodes = shared.settled(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("sketch", F.struct("doc_id", "sketch.wide")).alias("sketch")))
-    groups = shared.components(links(nodes.select("fp")).unionByName(similar_links(nodes, similarity))).withColumnRenamed("node", "fp")
-    reached = nodes.select("fp", "least").join(groups, "fp")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    found = shared.settled(with_sketches(texts, "text", width, keys).drop("text"))
+    nodes = shared.settled(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    sets = found.where("n > 0").groupBy("every").agg(F.min("fp").alias("fp"), F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("wide", "keys", "n")))
+    sets = shared.settled(sets)
+    # Texts of equal sets may differ in order and so in their fingerprints.
+    equal = found.where("n > 0").select("every", F.col("fp").alias("b")).distinct().join(sets.select("every", F.col("fp").alias("a")), "every").where("a <> b").select("a", "b")
+    edges = links(nodes.select("fp")).unionByName(similar_links(sets, texts.select("t", "text"), similarity, width)).unionByName(equal)
+    groups = shared.components(edges).withColumnRenamed("node", "fp")
+    reached = nodes.join(groups, "fp")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     named = reached.join(least, "component").select("fp", "component_id")
-    of_fp = nodes.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return found.select("doc_id", "fp").join(shared.settled(of_fp), "fp").select("doc_id", "component_id")
 
 

@@ -106,3 +106,46 @@ def test_similar_documents_finds_edited_copies_and_keeps_others(spark):
     found = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[n] == 0 for n in range(30))
     assert all(found[100 + n] == 100 + n for n in range(30))
+
+
+def linked(spark, texts, **sizes):
+    """The links of similar_links alone, by index of the text."""
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "fp long, text string").selectExpr("fp", "text", "xxhash64(text) AS t")
+    sets = S.with_sketches(docs.withColumnRenamed("fp", "row"), "text", 5, 4).drop("fp", "text").withColumnRenamed("row", "fp")
+    return {frozenset((r.a, r.b)) for r in S.similar_links(sets, docs.select("t", "text"), 0.8, 5, **sizes).collect()}
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_below_the_similarity_are_no_links(spark):
+    """Two texts share a head and differ in their tails: 0.75, and from 0.79 to 0.81 around the bound."""
+    rng = random.Random(5)
+    texts, want = [], set()
+    for size in (30, 33, 34, 35, 36, 37, 38, 40):
+        for _ in range(12):
+            head = words_of(rng, 304)
+            pair = [head + words_of(rng, size), head + words_of(rng, size)]
+            if jaccard(*pair) >= 0.8:
+                want.add(frozenset((len(texts), len(texts) + 1)))
+            texts += pair
+    assert 0 < len(want) < len(texts) / 2
+    found = linked(spark, texts)
+    assert found <= want
+    # A pair that shares none of its four smallest hashes doesn't meet, at 0.8 about 3 in 10,000.
+    assert len(found) >= len(want) - 1
+
+
+def test_repeated_passages_count_once(spark):
+    rng = random.Random(6)
+    text = words_of(rng, 300)
+    again = text + (text[:20] * 40)
+    assert jaccard(text, again) >= 0.8
+    assert linked(spark, [text, again]) == {frozenset((0, 1))}
