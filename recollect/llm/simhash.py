@@ -205,30 +205,33 @@ def with_sketches(docs: DataFrame, text: str, width: int, keys: int) -> DataFram
     return made.withColumns({name: F.col(f"made.{name}") for name in names}).drop("made")
 
 
-def leaders_of(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs (leader, follower) of rows: each row follows the first leader at ``most`` differing bits or fewer, or becomes one."""
-    found: list[tuple[int, int]] = []
-    lead = np.zeros((64, wide.shape[1]), dtype=np.uint64)
-    rows: list[int] = []
-    for n, row in enumerate(wide):
-        if rows:
-            near = np.flatnonzero(np.bitwise_count(lead[: len(rows)] ^ row).sum(axis=1) <= most)
-            if len(near):
-                found += [(rows[x], n) for x in near.tolist()]
-                continue
-        if len(rows) == len(lead):
-            lead = np.vstack([lead, np.zeros_like(lead)])
-        lead[len(rows)] = row
-        rows.append(n)
-    return found
-
-
 def most_bits(similarity: float, margin: float = 5) -> int:
     """Differing bits of wide fingerprints expected at a Jaccard similarity, and ``margin`` standard errors more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(WIDE * p + margin * math.sqrt(WIDE * p * (1 - p)))
 
 
+#: Texts of fewer distinct shingles are compared by them alone, since ties of few votes make their bits differ more.
+FEW = 64
+
+
+def candidates(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], same: bool, similarity: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each side, wide fingerprints and numbers of shingles, that may be ``similarity`` alike to some row of the other. ``same``: both sides are one."""
+    (wide_a, n_a), (wide_b, n_b) = left, right
+    most = most_bits(similarity)
+    has_a, has_b = np.zeros(len(n_a), dtype=bool), np.zeros(len(n_b), dtype=bool)
+    for at in range(0, len(n_a), step):
+        n = n_a[at : at + step, None]
+        bits = sum(np.bitwise_count(wide_a[at : at + step, None, w] ^ wide_b[None, :, w]).astype(np.int16) for w in range(wide_a.shape[1]))
+        low = np.minimum(n, n_b)
+        near = ((bits <= most) | (low < FEW)) & (low / np.maximum(n, n_b) >= similarity)
+        if same:
+            near &= np.arange(len(n_b)) != np.arange(at, at + len(n))[:, None]
+        has_a[at : at + step] |= near.any(axis=1)
+        has_b |= near.any(axis=0)
+    return has_a, has_b
+
+
 def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, step: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sets of distinct hashes, one of each side, whose Jaccard similarity is ``similarity`` or more."""
     sides = []
@@ -273,10 +276,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: i
         return same, [frame] * 2 if same else [frame[frame["side"] == s] for s in (0, 1)]
 
     def near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("fp")
-        wide = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), -1)
-        has = sorted({x for pair in leaders_of(wide, most_bits(similarity)) for x in pair})
-        return frame.iloc[has][[*place, "side", "every", "fp", "t"]]
+        same, sides = sides_of(key, frame)
+        told = [(np.frombuffer(b"".join(x["wide"]), dtype=np.uint64).reshape(len(x), -1), x["n"].to_numpy()) for x in sides]
+        found = [x[has] for x, has in zip(sides, candidates(*told, same, similarity), strict=True)]
+        return (found[0] if same else pd.concat(found))[[*place, "side", "every", "fp", "t"]]
 
     may = shared.settled(met.groupBy(*place).applyInPandas(near, "key long, c1 int, c2 int, side int, every long, fp long, t long"))
 

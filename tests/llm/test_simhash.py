@@ -149,3 +149,14 @@ def test_repeated_passages_count_once(spark):
     again = text + (text[:20] * 40)
     assert jaccard(text, again) >= 0.8
     assert linked(spark, [text, again]) == {frozenset((0, 1))}
+
+
+def test_a_chain_of_edited_copies_is_one_component(spark):
+    """Each text is 0.8 alike to the next only, and they come in any order."""
+    rng = random.Random(7)
+    for n in range(6):
+        long = words_of(rng, 420)
+        chain = [long[20 * i : 20 * i + 300] for i in range(4)]
+        assert jaccard(chain[0], chain[1]) >= 0.8 > jaccard(chain[0], chain[2])
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id long, text string")
+        assert {r.component_id for r in S.similar_documents(docs).collect()} == {0}
