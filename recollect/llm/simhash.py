@@ -256,20 +256,22 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float, st
     return np.nonzero(both / (n_a[:, None] + n_b - both) >= similarity)
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: int, bucket: int = 2_000) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: int, rows: int = 512, hashes: int = 500_000) -> DataFrame:
     """Edges ``(a, b)`` between fingerprints whose texts' shingles are ``similarity`` alike or more.
 
     ``nodes(every, fp, t, wide, keys, n)`` are the distinct sets of shingles and ``docs(t, text)`` have a
-    text of each. Nodes that share one of their smallest shingle hashes meet; in a bucket of more than ``bucket``
-    nodes those meet that share another one as well. Numbers of
+    text of each. Nodes that share one of their smallest shingle hashes meet; buckets of more than ``rows``
+    nodes or ``hashes`` shingles are cut into chunks, and tiles of two chunks compare every pair of them. Numbers of
     shingles and wide fingerprints only tell which nodes may have a link in a tile; these come again with
     the shingles of their texts, which decide. A tile gives a spanning forest of its links.
     """
-    spread = nodes.select("every", "fp", "t", "wide", "n", F.col("keys").alias("all"), F.explode("keys").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    finer = F.expr(f"CASE WHEN met <= {bucket} OR size(all) = 1 THEN array(key) ELSE transform(filter(all, k -> k <> key), k -> xxhash64(least(k, key), greatest(k, key))) END")
+    spread = nodes.select("every", "fp", "t", "wide", "n", F.explode("keys").alias("key"))
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("volume")).where("met > 1")
+    chunks = F.greatest(F.ceil(F.col("met") / rows), F.ceil(F.col("volume") / hashes)).cast("int")
+    sized = spread.join(sizes.select("key", chunks.alias("chunks")), "key").withColumn("c", F.pmod(F.xxhash64("every"), "chunks").cast("int"))
+    tile = F.expr("inline(transform(sequence(0, chunks - 1), k -> struct(least(c, k) AS c1, greatest(c, k) AS c2, CAST(k < c AS int) AS side)))")
     place = ["key", "c1", "c2"]
-    met = spread.join(sizes, "key").select(F.explode(finer).alias("key"), *(F.lit(0).alias(c) for c in ("c1", "c2", "side")), "every", "fp", "t", "wide", "n").distinct()
+    met = sized.select("key", tile, "every", "fp", "t", "wide", "n")
 
     def sides_of(key: tuple, frame: pd.DataFrame) -> tuple[bool, list[pd.DataFrame]]:
         same = key[1] == key[2]

@@ -160,3 +160,21 @@ def test_a_chain_of_edited_copies_is_one_component(spark):
         assert jaccard(chain[0], chain[1]) >= 0.8 > jaccard(chain[0], chain[2])
         docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id long, text string")
         assert {r.component_id for r in S.similar_documents(docs).collect()} == {0}
+
+
+def test_large_buckets_compare_every_pair(spark):
+    """All texts share their smallest hash; pairs share no other one."""
+    rng = random.Random(8)
+    texts = []
+    passage = words_of(rng, 5)
+    while len(texts) < 80:
+        head = words_of(rng, 30)
+        pair = [passage + head + words_of(rng, 3), passage + head + words_of(rng, 3)]
+        if jaccard(*pair) >= 0.8:
+            texts += pair
+    want = {frozenset((i, i + 1)) for i in range(0, 80, 2)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "fp long, text string").selectExpr("fp", "text", "xxhash64(text) AS t")
+    sets = S.with_sketches(docs.withColumnRenamed("fp", "row"), "text", 5, 4).drop("fp", "text").withColumnRenamed("row", "fp")
+    hot = sets.selectExpr("every", "fp", "t", "wide", "n", "array(1L) AS keys")
+    for sizes in ({}, {"rows": 9}, {"hashes": 300}):
+        assert {frozenset((r.a, r.b)) for r in S.similar_links(hot, docs.select("t", "text"), 0.8, 5, **sizes).collect()} == want
