@@ -69,7 +69,7 @@ def search(
     """Ranked entities and chunks for ``queries(query_id, embedding)``.
 
     ``allowed_entities(query_id, entity_id)`` and ``allowed_chunks(query_id, chunk_id)`` scope
-    the result; with an empty one nothing is allowed. Entities come with ``query_id,
+    the result; with an empty one nothing is allowed. Allowed entities without a ``query_id`` hold for every query. Entities come with ``query_id,
     entity_id, sim, distance, edge_confidence, boost, score, path, rank``; ties are broken by
     distance and id. Chunks come with ``query_id, chunk_id, sim, rank``.
     """
@@ -95,7 +95,7 @@ def search(
         F.max_by(F.struct("sim", "distance", "edge_confidence", "boost", "score", "path"), F.struct("score", -F.col("distance"), "sim")).alias("b")
     ).select("query_id", "entity_id", "b.*")
     if allowed_entities is not None:
-        best = best.join(allowed_entities, ["query_id", "entity_id"], "left_semi")
+        best = best.join(allowed_entities, [c for c in ("query_id", "entity_id") if c in allowed_entities.columns], "left_semi")
     if allowed_chunks is not None:
         hits = hits.join(allowed_chunks, ["query_id", "chunk_id"], "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "entity_id")
