@@ -120,14 +120,24 @@ def vector_only(memory: Memory, queries: DataFrame, k: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "entity_id")))
 
 
-def graph_only(questions: DataFrame, entities: DataFrame, relations: DataFrame, hops: int = 3, k: int = 5) -> DataFrame:
-    """``(query_id, target, distance)`` around the first ``k`` entities by name whose name holds the last word of the question."""
+def graph_only(questions: DataFrame, entities: DataFrame, relations: DataFrame, hops: int = 3, k: int = 5, most_words: int = 5_000) -> DataFrame:
+    """``(query_id, target, distance)`` around the first ``k`` entities by name whose name holds the last word of the question.
+
+    Names are matched with ``most_words`` distinct words at once; more words are taken in that many rounds.
+    """
     last = F.lower(F.regexp_extract("question", r"(\w+)\W*$", 1))
     asked = questions.select("query_id", last.alias("word")).where("word <> ''")
     names = entities.where("canonical").select("entity_id", "name")
-    met = names.join(F.broadcast(asked), F.lower("name").contains(F.col("word"))) if asked.count() <= 5_000 else names.join(asked, F.lower("name") == F.col("word"))
-    first = Window.partitionBy("query_id").orderBy("name", "entity_id")
-    seeds = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    words = asked.select("word").distinct()
+    rounds = max(1, -(-words.count() // most_words))
+    first = Window.partitionBy("word").orderBy("name", "entity_id")
+    met = None
+    for r in range(rounds):
+        part = words if rounds == 1 else words.where(F.pmod(F.xxhash64("word"), F.lit(rounds)) == r)
+        held = names.join(F.broadcast(part), F.lower("name").contains(F.col("word")))
+        firsts = held.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+        met = firsts if met is None else met.unionByName(firsts)
+    seeds = asked.join(met.select("word", "entity_id"), "word")
     found = graph.reachable(seeds.select(F.struct("query_id", "entity_id").alias("s")).select(F.col("s.entity_id").alias("seed")).distinct(), relations.where("valid_until IS NULL"), hops)
     return seeds.select("query_id", F.col("entity_id").alias("seed")).join(found, "seed").groupBy("query_id", "target").agg(F.min("distance").alias("distance"))
 
