@@ -31,11 +31,13 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, once; documents without an id stay."""
+    """Keeps the document with the smallest id of each group of near duplicates, once; of different texts of that id the first by hash. Documents without an id stay."""
     docs = docs.select(*COLUMNS)
-    kept = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = simhash.similar_documents(docs).where("doc_id IS NOT NULL")
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("first.*")
     without = docs.where("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(without)
+    marked = docs.withColumn("t", F.xxhash64("text"))
+    return marked.join(kept, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]).select(*COLUMNS).unionByName(without)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

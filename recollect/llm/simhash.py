@@ -307,11 +307,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: i
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, keys: int = 4) -> DataFrame:
-    """``(doc_id, component_id)``: near duplicates under two tests, fingerprints at two bits or fewer and shared shingles.
+    """``(doc_id, t, component, component_id)``: near duplicates under two tests, fingerprints at two bits or fewer and shared shingles.
 
     Two bits of 64 only hold nearly equal texts, so texts whose distinct shingles of ``width`` words
     have a Jaccard similarity of ``similarity`` are linked as well. Nulls, empty texts, repeated
-    rows and ids are treated as by ``near_duplicates``.
+    rows and ids are treated as by ``near_duplicates``. t is a hash of the text, and component tells
+    groups apart whose smallest ids are the same.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     found = shared.settled(with_sketches(texts, "text", width, keys).drop("text"))
@@ -322,11 +323,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     equal = found.where("n > 0").select("every", F.col("fp").alias("b")).distinct().join(sets.select("every", F.col("fp").alias("a")), "every").where("a <> b").select("a", "b")
     edges = links(nodes.select("fp")).unionByName(similar_links(sets, texts.select("t", "text"), similarity, width)).unionByName(equal)
     groups = shared.components(edges).withColumnRenamed("node", "fp")
-    reached = nodes.join(groups, "fp")
+    reached = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = reached.join(least, "component").select("fp", "component_id")
-    of_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.select("doc_id", "fp").join(shared.settled(of_fp), "fp").select("doc_id", "component_id")
+    of_fp = reached.join(least, "component").select("fp", "component", "component_id")
+    return found.select("doc_id", "t", "fp").join(shared.settled(of_fp), "fp").select("doc_id", "t", "component", "component_id")
 
 
 def op10(spark, sf_dir):

@@ -35,3 +35,12 @@ def test_empty_documents(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_id_with_different_texts(spark):
+    """Texts of one id that are no near duplicates are decided each by its own group."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(1, text(1)), (5, text(1)), (5, text(2)), (5, text(2)), (5, text(3)), (7, text(3)), (None, text(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id or 0, r.text) for r in C.unique(spark, docs, "").collect()))
+    assert kept == [(0, text(1)), (1, text(1)), (5, text(2)), (5, text(3))]
