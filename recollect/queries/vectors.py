@@ -42,6 +42,7 @@ def _mentions(spark, sf_dir, kind=None):
 
 
 def _stored(spark, sf_dir):
+    """The rows that aren't mentions, which stand for what was stored before the mentions came; so a mention never resolves to another mention."""
     return M.table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 0").select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("type"), "embedding")
 
 
