@@ -38,15 +38,57 @@ def vectors():
     return rows + [(n, None), (n + 1, []), (n + 2, [0.0] * 64), (n + 3, [0.0] * 64), (n + 4, [float("nan")] * 64), (n + 5, [1.0, None]), (n + 6, [1.0, 2.0]), (n + 7, [2.0, 4.0]), (n + 8, [float("inf")] * 64)]
 
 
-@pytest.mark.parametrize("chunk", [4_096, 16])
-def test_matches_brute_force(spark, vectors, chunk, monkeypatch):
-    whole = E.link_vectors
-    monkeypatch.setattr(E, "link_vectors", lambda units, cosine, blocks: whole(units, cosine, blocks, chunk))
+@pytest.mark.parametrize("cell_rows", [16_384, 16])
+def test_matches_brute_force(spark, vectors, cell_rows):
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    found = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame).collect())
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame, cell_rows=cell_rows).collect())
     assert found == brute_force([(i, v) for i, v in vectors], 0.9)
 
 
+def test_a_hot_group_of_near_copies_large_ids_and_null_ids(spark):
+    rng = np.random.default_rng(3)
+    base, far = rng.standard_normal((2, 32))
+    big = 1 << 53
+    rows = [(big + 1 + i, base + rng.standard_normal(32) * 0.12) for i in range(150)] + [(i, rng.standard_normal(32)) for i in range(300)]
+    rows += [(big - 3, far), (None, far * 1.0001 + 0.01), (None, rng.standard_normal(32)), (big + 1, -far)]
+    rows = [(i, v.tolist()) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame, cell_rows=40).collect()), key=str)
+    named = [(big + 10_000 + n if i is None else i, v) for n, (i, v) in enumerate(rows)]
+    want = [(None if i > big + 9_999 else i, n, None if c > big + 9_999 else c) for i, n, c in brute_force(named, 0.9)]
+    assert found == sorted(want, key=str)
+
+
+def test_cells_leave_out_no_pair(spark, vectors):
+    """Vectors of few dimensions, where cells do prune, against every pair."""
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((1_200, 3)) @ rng.standard_normal((3, 12)) + rng.standard_normal((1_200, 12)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.vec_id, r.n_links) for r in E.near_duplicates(frame, 0.999, cell_rows=30).collect())
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    assert found == [(i, int(n) - 1) for i, n in enumerate((unit @ unit.T >= 0.999).sum(axis=1))]
+
+
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(2)
+    left, right = rng.integers(0, 400, (2, 350))
+    tree = E.forest(400, left, right)
+    root = np.arange(400)
+    root[tree[:, 1]] = tree[:, 0]
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(left, right, strict=True):
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert root.tolist() == [find(x) for x in range(400)]
+
+
 def test_empty_table_and_more_columns(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0], 5, 2), (2, [1.0, 0.01], 5, 2), (None, [1.0, 0.0], None, None)], "vec_id long, embedding array<float>, rep int, n int")
     found = {(r.vec_id, r.n_links) for r in E.near_duplicates(frame).collect()}
