@@ -1,7 +1,7 @@
 """Best-fit packing under conflicts.
 
-Documents are cut into pieces of at most a sequence's length, and pieces are put into
-sequences (bins). Bins are ordered by their residual room. A piece goes to the tightest bin
+Documents, measured in tokens, are cut into pieces of at most a sequence's length, and pieces are put into
+sequences (bins). A piece's first token and its place in the bin tell what to copy where. Bins are ordered by their residual room. A piece goes to the tightest bin
 that takes it and doesn't conflict: from the first bin with enough room the search goes on to
 its successors until one is compatible. Each bin carries a bitmap of its duplicate clusters,
 none of which may come twice, and bitmaps of its sources, one for each time that a source may
@@ -14,12 +14,15 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, simhash, token_counts
 
-RESULT = "doc_id long, piece int, n_units long, bin_id long, bin_offset long, bin_fill long, bin_pieces int"
+RESULT = "doc_id long, piece int, begin long, n_units long, bin_id long, bin_offset long, bin_fill long, bin_pieces int"
+ARROW = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in RESULT.split(", "))])
+CAPACITY = 4_096
 
 
 class Bins:
@@ -70,8 +73,8 @@ def pack(frame: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
             pieces.append((rest, doc_id, whole, source, cluster))
     pieces.sort(key=lambda p: -p[0])
     bins = Bins(capacity, per_source)
-    placed = [(doc_id, n, size, *bins.put(size, source_bit[source], cluster_bit[cluster])) for size, doc_id, n, source, cluster in pieces]
-    out = pd.DataFrame(placed, columns=["doc_id", "piece", "n_units", "bin_id", "bin_offset"])
+    placed = [(doc_id, n, n * capacity, size, *bins.put(size, source_bit[source], cluster_bit[cluster])) for size, doc_id, n, source, cluster in pieces]
+    out = pd.DataFrame(placed, columns=["doc_id", "piece", "begin", "n_units", "bin_id", "bin_offset"]).astype({"doc_id": "Int64"})
     by_bin = out.groupby("bin_id")["n_units"]
     out["bin_fill"], out["bin_pieces"] = by_bin.transform("sum"), by_bin.transform("count").astype("int32")
     return out
@@ -83,43 +86,50 @@ def pack_documents(
     source: str = "source",
     cluster: str = "cluster",
     doc_id: str = "doc_id",
-    capacity: int = 16_384,
+    capacity: int = CAPACITY,
     per_source: int = 8,
     partition_rows: int = 4_096,
 ) -> DataFrame:
-    """A row for each piece: ``doc_id, piece, n_units, bin_id, bin_offset, bin_fill, bin_pieces``.
+    """A row for each piece: ``doc_id, piece, begin, n_units, bin_id, bin_offset, bin_fill, bin_pieces``.
 
-    ``size`` names a column of whole units, ``capacity`` the units of a bin. A longer document
+    ``size`` names a column of whole units, tokens as a rule, ``capacity`` the units of a bin. A longer document
     is cut into pieces of ``capacity`` and a rest; its pieces share its cluster, so they are in
-    different bins. A source comes at most ``per_source`` times in a bin, a cluster once. A
+    different bins. A piece is the document's ``n_units`` units from ``begin`` on, and lies at ``bin_offset``.
+    A source comes at most ``per_source`` times in a bin, a cluster once. A
     document of null or no size has no piece. Null sources are one source, and a null
-    cluster is one cluster for each row. Rows repeated in id are packed like others. Partitions
-    of about ``partition_rows`` documents are drawn by a hash of the row, so a frequent source
-    or cluster is in all of them; a partition's bin ids start with its number.
+    cluster is one cluster for each row. Rows repeated in id, and those without one, are packed like others. Partitions
+    of about ``partition_rows`` documents are drawn by a hash of the row, so a frequent source,
+    cluster or row is in all of them; a partition's bin ids start with its number.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"),
-        F.coalesce(F.col(cluster).cast("long"), F.xxhash64(F.col(doc_id), F.lit("null"))).alias("cluster"),
+        F.col(cluster).cast("long").alias("cluster"),
+        F.monotonically_increasing_id().alias("row"),
     ).where("size > 0")
-    rows = shared.settled(rows)
+    rows = shared.settled(rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64("row", F.lit("null")))))
     parts = max(1, -(-rows.count() // partition_rows))
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = pack(frame, capacity, per_source)
-        out["bin_id"] += int(key[0]) << 32
-        return out
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        out = pack(table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), capacity, per_source)
+        out["bin_id"] += key[0].as_py() << 32
+        return pa.Table.from_pandas(out, schema=ARROW, preserve_index=False)
 
-    part = F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(parts)).cast("int").alias("part")
-    return rows.select("*", part).groupBy("part").applyInPandas(one, RESULT)
+    part = F.pmod(F.xxhash64("doc_id", "cluster", "size", "row"), F.lit(parts)).cast("int").alias("part")
+    return rows.select("*", part).drop("row").groupBy("part").applyInArrow(one, RESULT)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_bytes``, the text's UTF-8 bytes, and ``cluster``, a hash that equal texts share."""
-    return docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "cluster": F.xxhash64(text)})
+def measured(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens``, the text's tokens, and ``cluster``, a hash that equal texts share.
+
+    Tokens are those of the byte-level vocabulary at ``path``, one of the public ones by default.
+    """
+    return token_counts.count_tokens(docs, path or token_counts.byte_level_tokenizer(), text).withColumn("cluster", F.xxhash64(text))
 
 
 def op8(spark, sf_dir):
-    docs = measured(shared.table(spark, sf_dir, "documents"))
-    return pack_documents(docs.select("doc_id", "source", "n_bytes", "cluster"), "n_bytes")
+    """Clusters are op10's components, so near copies don't share a sequence."""
+    docs = measured(shared.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = simhash.near_duplicates(docs, keep=("source", "n_tokens"))
+    return pack_documents(found, "n_tokens", cluster="component_id")

@@ -130,14 +130,15 @@ def links(fingerprints: DataFrame, bucket: int = 64) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs``, with its columns ``keep``.
 
     component_id is the smallest id reachable over links of at most two differing bits, the own
     id included. Null and empty texts have fingerprint 0 and link like any other. Repeated rows
     appear as often as they come. A null id gets its group's component, null if it is alone.
     """
-    found = shared.settled(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).select("doc_id", "fp"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *keep)
+    found = shared.settled(with_fingerprints(rows, "__text", "fp", width).select("doc_id", "fp", *keep))
     nodes = shared.settled(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = shared.components(links(nodes)).withColumnRenamed("node", "fp")
     reached = nodes.join(groups, "fp")
@@ -145,7 +146,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = reached.join(least, "component").select("fp", "component_id")
     of_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # Between two written tables a frequent fingerprint's partition can be split.
-    return found.join(shared.settled(of_fp), "fp").select("doc_id", "fp", "component_id")
+    return found.join(shared.settled(of_fp), "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 WIDE = 256

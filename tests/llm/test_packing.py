@@ -4,6 +4,7 @@ from collections import defaultdict
 import pandas as pd
 
 from recollect.llm import packing as P
+from recollect.llm import simhash
 
 
 def plain(frame, capacity, per_source):
@@ -34,7 +35,7 @@ def test_equals_plain_best_fit():
 
 def test_odd_rows(spark, odd_documents, no_documents):
     docs = P.measured(odd_documents)
-    rows = P.pack_documents(docs, "n_bytes", capacity=1_000, per_source=1, partition_rows=5).collect()
+    rows = P.pack_documents(docs, "n_tokens", capacity=1_000, per_source=1, partition_rows=5).collect()
     by_bin = defaultdict(list)
     for r in rows:
         by_bin[r.bin_id].append(r)
@@ -45,9 +46,54 @@ def test_odd_rows(spark, odd_documents, no_documents):
         for r in sorted(members, key=lambda r: r.bin_offset):
             assert r.bin_offset == at
             at += r.n_units
-    want = sum(r.n_bytes for r in docs.collect())
-    assert sum(r.n_units for r in rows) == want
-    assert P.pack_documents(P.measured(no_documents), "n_bytes").count() == 0
+    want = defaultdict(int)
+    for r in odd_documents.collect():
+        want[r.doc_id] += len(tokenizer().encode_ordinary(r.text or ""))
+    found = defaultdict(int)
+    for r in rows:
+        found[r.doc_id] += r.n_units
+        assert r.begin == r.piece * 1_000
+    assert found == {d: n for d, n in want.items() if n}
+    assert P.pack_documents(P.measured(no_documents), "n_tokens").count() == 0
+
+
+def tokenizer():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, special_tokens={})
+
+
+def test_null_and_large_ids_stay_as_they_are(spark):
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(big, 7, "s", 1), (big + 2, 7, None, None), (None, 7, "s", None), (None, None, "s", 1), (5, 0, "s", 1)], "doc_id long, size int, source string, cluster long")
+    assert sorted((r.doc_id or 0, r.n_units) for r in P.pack_documents(docs, "size", capacity=10).collect()) == [(0, 7), (big, 7), (big + 2, 7)]
+
+
+def test_whole_query_equals_plain_best_fit(spark, tiny):
+    """The registered query in one partition, against the library's lengths, op10's components and a search through every bin."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    cluster = {r.doc_id: r.component_id for r in simhash.op10(spark, tiny).collect()}
+    frame = pd.DataFrame([(r.doc_id, len(tokenizer().encode_ordinary(r.text or "")), r.source or "\0", cluster[r.doc_id]) for r in docs], columns=["doc_id", "size", "source", "cluster"])
+    found = P.op8(spark, tiny).collect()
+    assert sorted((r.doc_id, r.piece, r.n_units, r.bin_id, r.bin_offset) for r in found) == sorted(plain(frame, P.CAPACITY, 8))
+
+
+def test_pieces_rebuild_the_texts(spark, tiny):
+    """Each bin is filled from the documents' tokens by the result alone, and read back."""
+    texts = {r.doc_id: tokenizer().encode_ordinary(r.text or "") for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    rows = P.op8(spark, tiny).collect()
+    bins = {r.bin_id: [None] * r.bin_fill for r in rows}
+    for r in rows:
+        bins[r.bin_id][r.bin_offset : r.bin_offset + r.n_units] = texts[r.doc_id][r.begin : r.begin + r.n_units]
+    assert all(None not in b and len(b) <= P.CAPACITY for b in bins.values())
+    back = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        back[r.doc_id] += bins[r.bin_id][r.bin_offset : r.bin_offset + r.n_units]
+    assert back == {d: t for d, t in texts.items() if t}
 
 
 def test_a_hot_cluster_is_never_twice_in_a_bin(spark):
