@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters but are neither letters nor decimal digits, such as fractions and circled numbers.
+NUMBER_SIGNS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0x80, 0x110000)))) if not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
+#: Longer runs of letters are cut, in learning as in prediction, so that no product underflows.
+RUN = 48
 START = "▁"
 UNDETERMINED = "und"
 
@@ -117,7 +121,6 @@ class LanguageModel:
     languages: list[str]
     vocabulary: PieceVocabulary
     probabilities: np.ndarray  # piece, language
-    run: int = 48
     evidence: int = 20
 
     @property
@@ -125,10 +128,10 @@ class LanguageModel:
         return hashlib.sha1(self.probabilities.tobytes() + repr(self.languages).encode()).hexdigest()
 
     def words_of(self, text: str) -> list[str]:
-        """Lower-case runs of letters; longer runs than ``run`` are cut, so that no product underflows."""
+        """Lower-case runs of letters, longer ones than RUN in parts."""
         words = WORD.findall(text.lower())
-        if any(len(w) > self.run for w in words):
-            words = [w[i : i + self.run] for w in words for i in range(0, len(w), self.run)]
+        if any(len(w) > RUN for w in words):
+            words = [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
         return words
 
     def word_scores(self, words: list[str], step: int = 2048) -> np.ndarray:
@@ -192,46 +195,23 @@ def identify(texts: list[str | None], cache: WordCache) -> list[tuple[str, float
 def fit(
     train: DataFrame,
     vocabulary_path: str | None = None,
-    sample_documents: int = 4_000,
-    words_per_language: int = 30_000,
+    sample_documents: int = 2_000,
     rounds: int = 2,
     smoothing: float = 0.01,
     unknown: float = 1e-7,
 ) -> LanguageModel | None:
     """Piece probabilities per language from ``train(doc_id, text, lang)``; None if it has no language.
 
-    ``sample_documents`` bounds the documents learned from (drawn by a hash of the id, whole
-    texts) and ``words_per_language`` the counted words that reach the driver. Rows without
-    text or language teach nothing. Starts from even pieces of equal length and sums over all
-    segmentations in each round.
+    ``sample_documents`` bounds the documents learned from, about so many, drawn by a hash of id and text, whole texts; all
+    of their words are counted, and the counts are collected. Rows without
+    text or language teach nothing, repeated rows count again; other columns aren't read. Starts from even
+    pieces of equal length and sums over all segmentations in each round.
     """
     rows = train.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    n = rows.count()
-    share = min(1.0, sample_documents / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counted = (
-        drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("word"))
-        .where("word <> ''")
-        .groupBy("lang", "word")
-        .count()
-    )
-    # Each language keeps its most frequent words. How many words have each count is a short list, which tells from
-    # where on all are kept, and of the first count that doesn't fit which share, drawn by a hash.
-    counted = shared.settled(counted)
-    steps = counted.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values(["lang", "count"], ascending=[True, False])
-    enough = F.lit(False)
-    for lang, own in steps.groupby("lang"):
-        room = words_per_language
-        for n, words in zip(own["count"], own["words"], strict=True):
-            part = min(1.0, room / words)
-            last = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(part * (1 << 20))
-            if part < 1.0:
-                enough = enough | ((F.col("lang") == lang) & ((F.col("count") > int(n)) | ((F.col("count") == int(n)) & last)))
-                break
-            room -= words
-        else:
-            enough = enough | (F.col("lang") == lang)
-    top = counted.where(enough).toPandas()
+    share = min(1.0, sample_documents / max(rows.count(), 1))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{RUN}}})"), 1)
+    top = drawn.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count().toPandas()
     languages = sorted(top["lang"].unique())
     if not languages:
         return None
@@ -239,7 +219,7 @@ def fit(
     columns = []
     for language in languages:
         own = top[top["lang"] == language].sort_values(["count", "word"], ascending=[False, True])
-        words = [w[:48] for w in own["word"]]
+        words = own["word"].tolist()
         counts = own["count"].to_numpy(dtype=float)
         lengths = np.array([len(x) for x in vocabulary.index] + [1], dtype=float)
         p = np.exp(-2.5 * np.ones(len(vocabulary)) * lengths)
