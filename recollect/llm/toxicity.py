@@ -2,8 +2,11 @@
 
 The kernel compares words by their subsequences of three letters, each occurrence weighted by
 a decay to the power of its span, so that gaps and inserted characters only weaken a match.
-Landmark words span the approximation; the machine is trained on words of labelled sentences.
-Since the kernel has an explicit feature space of three-letter sequences, the landmarks'
+Landmark words span the approximation. The machine is trained on labelled sentences: a sentence is
+a bag of words and as toxic as its worst one, and only its label is known. So a first machine
+gives each word the labels of all its sentences; then, in turn, words of toxic sentences that the
+machine sets apart from those of clean sentences count as toxic, the others no longer, and the
+machine is trained again. Since the kernel has an explicit feature space of three-letter sequences, the landmarks'
 weights fold into one weight per sequence, and scoring a word is a sum over its sequences.
 A text scores as its worst word, and the score is a logistic function fitted to the labels.
 """
@@ -11,7 +14,6 @@ A text scores as its worst word, and the score is a logistic function fitted to
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 import unicodedata
@@ -242,13 +244,23 @@ def mangled(word: str, rng: random.Random) -> str:
     return word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
 
 
-def train_words(positive: list[str], negative: list[str], counts: list[int] | None = None, landmarks: int = 160, cost: float = 1.0, seed: int = 7) -> ToxicityModel:
-    """The machine over words; inserted-letter variants of positive words are trained on too.
+def machine(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[str], cost: float = 1.0) -> ToxicityModel:
+    """The kernel machine on labelled words, approximated on the span of the landmarks."""
+    basis = features(landmarks)
+    values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    distinct, at = np.unique(np.array(words, dtype=object), return_inverse=True)
+    w, bias = squared_hinge((kernel(distinct.tolist(), basis) @ root)[at], y, weight, cost)
+    return ToxicityModel((basis.T @ (root @ w).astype(np.float32)).astype(float), bias)
 
-    ``positive`` comes in the order of ``counts``, whose square roots weigh the words, variants
-    half as much; both classes weigh the same in all. Half of the landmarks are positive words.
-    The others are negative words: the first ones at first, then, in a second fit, those
-    that the first one takes for the most toxic.
+
+def train_words(positive: list[str], negative: list[str], counts: list[float] | None = None, landmarks: int = 160, seed: int = 7) -> ToxicityModel:
+    """A machine that tells words of two lists apart; variants of positive words with a letter put in are trained on too.
+
+    ``positive`` comes in the order of ``counts``, whose square roots weigh the words, variants a quarter
+    as much. Half of the landmarks are positive words. The others are negative words: the first ones at
+    first, then, in a second fit, those that the first one takes for the most toxic.
     """
     rng = random.Random(seed)
     of = np.sqrt(np.array(counts or [1] * len(positive), dtype=float))
@@ -261,72 +273,100 @@ def train_words(positive: list[str], negative: list[str], counts: list[int] | No
     others = negative
     for _ in range(2):
         chosen = positive[: landmarks // 2]
-        chosen = chosen + others[: landmarks - len(chosen)]
-        basis = features(chosen)
-        values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
-        keep = values > 1e-6 * values.max()
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        w, bias = squared_hinge(kernel(words, basis) @ root, y, weight, cost)
-        model = ToxicityModel((basis.T @ (root @ w).astype(np.float32)).astype(float), bias)
-        others = [negative[i] for i in np.argsort(-model.values(negative))]
+        model = machine(words, y, weight, chosen + others[: landmarks - len(chosen)])
+        others = [negative[i] for i in np.argsort(-model.values(negative), kind="stable")]
     return model
 
 
-def fit(train: DataFrame, sample_documents: int = 12_000, words_per_class: int = 8_000, chance: float = 0.05, share: float = 0.5) -> ToxicityModel | None:
-    """A model from ``train(doc_id, text, toxic)``; None without labels of both kinds or without a word that marks toxic sentences.
+def train_sentences(words: list[str], bad: np.ndarray, good: np.ndarray, landmarks: int = 160, rounds: int = 2) -> tuple[ToxicityModel, list[str], list[float]] | None:
+    """A machine from words that come in toxic sentences of ``bad`` texts and clean ones of ``good`` texts each, the words that it takes for toxic and how often they come.
+
+    None where nothing in the toxic sentences stands out.
+    """
+    bad, good = np.asarray(bad, dtype=float), np.asarray(good, dtype=float)
+    if not bad.any() or not good.any():
+        return None
+    rate = bad.sum() / good.sum()
+    excess = (bad - rate * good) / np.sqrt(bad + rate * good)
+    by_excess, by_good = np.argsort(-excess, kind="stable"), np.argsort(-good, kind="stable")
+    chosen = [words[i] for i in by_excess[: landmarks // 2]]
+    taken = set(chosen)
+    chosen += [words[i] for i in by_good if good[i] > 0 and words[i] not in taken][: landmarks - len(chosen)]
+    both = [*np.flatnonzero(bad), *np.flatnonzero(good)]
+    y = np.r_[np.ones(np.count_nonzero(bad)), -np.ones(np.count_nonzero(good))]
+    # Toxic and clean sentences weigh the same in all.
+    model = machine([words[i] for i in both], y, 50_000 * np.r_[bad[bad > 0] / bad.sum(), good[good > 0] / good.sum()], chosen)
+    # Clean sentences hold no toxic word, so one that comes in them as often is none, nor is one that comes so rarely that
+    # some word would be in as many toxic texts by chance; where few texts are labelled, the words nearest to that are taken.
+    # What clean words reach tells what the first machine sets apart.
+    part = bad.sum() / (bad.sum() + good.sum())
+    chance = bad * np.log(np.maximum(bad, 1) / ((bad + good) * part)) + good * np.log(np.maximum(good, 1) / ((bad + good) * (1 - part)))
+    mostly = (bad > good) & (chance > min(np.log(len(words)), 0.5 * chance[bad > good].max(initial=0.0)))
+    for turn in range(rounds):
+        value = model.values(words)
+        limit = np.quantile(value[~mostly], 0.99) if turn == 0 and not mostly.all() else 0.0
+        witness = np.flatnonzero(mostly & (value > limit))
+        witness = witness[np.argsort(-bad[witness], kind="stable")]
+        told = set(witness.tolist())
+        others = [words[i] for i in by_good if good[i] > 0 and i not in told]
+        if not len(witness) or not others:
+            return None
+        positive, counts = [words[i] for i in witness], bad[witness].tolist()
+        model = train_words(positive, others, counts, landmarks)
+    return model, positive, counts
+
+
+def sentences_of(rows: DataFrame, longest: int = 30) -> DataFrame:
+    """``(words, toxic, t)``: the distinct sentences of ``rows(text, toxic)`` as lists of distinct words, in parts of ``longest`` words.
+
+    A sentence has its texts' label, and is clean if one of them is; t is one of these texts, by hash.
+    """
+    cut = rows.select("toxic", F.xxhash64("text").alias("t"), F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence"))
+    listed = cut.select("toxic", "t", F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"(\p{L}+)"), 1)).alias("w")).where("size(w) > 0")
+    parts = listed.select("toxic", "t", F.explode(F.expr(f"transform(sequence(0, (size(w) - 1) div {longest}), i -> slice(w, i * {longest} + 1, {longest}))")).alias("words"))
+    return parts.groupBy("words").agg(F.min("toxic").alias("toxic"), F.min("t").alias("t"))
+
+
+def fit(train: DataFrame, sample_sentences: int = 8_000, hard_words: int = 2_500) -> ToxicityModel | None:
+    """A model from ``train(doc_id, text, toxic)``; None without labels of both kinds or where nothing stands out in toxic sentences.
 
-    ``sample_documents`` bounds the labelled documents learned from, drawn by a hash of the id,
-    whole texts; ``words_per_class`` the words that reach the driver. Words are counted by their places in
-    sentences, a place being the words before and after, so that copies of a sentence count once.
-    A word is toxic if ``share`` of its places at least are in sentences of toxic documents and
-    its likelihood ratio against the overall rate would come about by chance for fewer than
-    ``chance`` of all words together; other words of clean documents are not. A first machine
-    picks among all of these the ones it takes for the most toxic, for the final one to learn.
+    The machine is trained on the words of about ``sample_sentences`` distinct sentences of each label at most, drawn by a
+    hash, counted by the texts of all sentences; the bound on labelled documents is ``labelled``'s. The ``hard_words`` words of clean sentences that
+    it takes for the most toxic are then learned from as well. The logistic function is fitted to all the labelled texts.
+    Null texts and labels teach nothing; repeated sentences count once, words of any length count.
     """
     spark = train.sparkSession
-    rows = train.where("text IS NOT NULL AND toxic IS NOT NULL")
-    sentences = rows.select("toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence"))
-    listed = sentences.select("toxic", F.regexp_extract_all("sentence", F.lit(r"([\p{L}]+)"), 1).alias("w"))
-    placed = listed.select("toxic", F.expr("explode(transform(w, (x, i) -> struct(x AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS place))) AS p"))
-    places = placed.where("length(p.word) BETWEEN 2 AND 40").groupBy("p.word", "p.place").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good"))
-    counted = places.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counted = shared.settled(counted)
-    all_words, all_bad, all_good = counted.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("good")).first()
-    if not all_bad or not all_good:
+    rows = shared.settled(train.where("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic")))
+    sentences = shared.settled(sentences_of(rows))
+    of = {r.toxic: r.n for r in sentences.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not of.get(0) or not of.get(1):
         return None
-    base = all_bad / (all_bad + all_good)
-    b, g = F.col("bad").cast("double"), F.col("good").cast("double")
-    surprise = 2 * (F.when(b > 0, b * F.log(b / ((b + g) * base))).otherwise(0.0) + F.when(g > 0, g * F.log(g / ((b + g) * (1 - base)))).otherwise(0.0))
-    bad = (b >= share * (b + g)) & (surprise >= 2 * math.log(all_words / chance))
-    kept = counted.withColumn("label", F.when(bad, 1).when(F.col("good") >= 1, 0)).where("label IS NOT NULL")
-    worst_words = kept.where("label = 1").orderBy(F.desc("bad"), "word").limit(words_per_class).collect()
-    positive, counts = [r.word for r in worst_words], [r.bad for r in worst_words]
-    often = [r.word for r in kept.where("label = 0").orderBy(F.desc("good"), "word").limit(words_per_class // 2).collect()]
-    drawn = [r.word for r in kept.where("label = 0").orderBy(F.xxhash64("word"), "word").limit(words_per_class).collect()]
-    negative = list(dict.fromkeys([*often[:40], *drawn[:40], *often, *drawn]))
-    if not positive or not negative:
+    share = F.when(F.col("toxic") == 1, F.lit(sample_sentences / of[1])).otherwise(F.lit(sample_sentences / of[0]))
+    drawn = F.pmod(F.xxhash64("words"), F.lit(1 << 20)) <= share * (1 << 20)
+    places = sentences.select("toxic", "t", drawn.cast("int").alias("drawn"), F.explode("words").alias("word"))
+    texts = places.groupBy("word", "t").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good"), F.max("drawn").alias("drawn"))
+    counted = shared.settled(texts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("drawn").alias("drawn")))
+    listed = counted.where("drawn = 1").select("word", "bad", "good").toPandas().sort_values("word")
+    found = train_sentences(listed["word"].tolist(), listed["bad"].to_numpy(), listed["good"].to_numpy())
+    if found is None:
         return None
-    model = train_words(positive, negative, counts)
-    # The clean words that this machine takes for the most toxic are learned from too.
-    scored = kept.where("label = 0").select("word", _worst_udf(spark, model)("word").alias("value"))
-    hard = [r.word for r in scored.orderBy(F.desc("value"), "word").limit(words_per_class // 3).collect()]
-    model = train_words(positive, list(dict.fromkeys([*hard, *negative])), counts)
+    model, positive, weights = found
+    scored = counted.where("good > 0").select("word", _worst_udf(spark, model)("word").alias("value"))
+    hard = [r.word for r in scored.orderBy(F.desc("value"), "word").limit(hard_words).collect()]
+    usual = listed[listed["good"] > 0].sort_values(["good", "word"], ascending=[False, True])["word"].tolist()
+    told = set(positive)
+    model = train_words(positive, list(dict.fromkeys(w for w in [*hard, *usual] if w not in told)), weights)
     scored = rows.select("toxic", F.round(_worst_udf(spark, model)("text"), 3).alias("value")).groupBy("toxic", "value").count().toPandas()
-    if scored["toxic"].nunique() < 2:
-        return None
-    # A text marked toxic that scores among clean ones holds no witness; it would only flatten the curve.
-    clean = scored[scored["toxic"] == 0].sort_values("value")
-    usual = clean["value"].to_numpy()[np.searchsorted(clean["count"].cumsum(), 0.95 * clean["count"].sum())]
-    seen = scored[(scored["toxic"] == 0) | (scored["value"] > usual)]
-    if seen["toxic"].nunique() < 2:
-        return None
-    model.slope, model.offset = fit_logistic(*(seen[c].to_numpy(float) for c in ("value", "toxic", "count")))
+    model.slope, model.offset = fit_logistic(*(scored[c].to_numpy(float) for c in ("value", "toxic", "count")))
     model.floor = min(model.floor, float(scored["value"].min()))
     return model
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_documents: int = 12_000) -> DataFrame:
-    """``(doc_id, text, toxic)`` of at most about ``sample_documents`` labelled documents outside the held-out quarter."""
+    """``(doc_id, text, toxic)`` of at most about ``sample_documents`` labelled documents outside the held-out quarter, drawn by a hash of the id.
+
+    Rows without id or label are left out; of several labels of an id the greatest holds.
+    """
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~shared.is_held_out(F.col("doc_id")))
     part = min(1.0, sample_documents / max(1, marks.count()))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1

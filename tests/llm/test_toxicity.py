@@ -1,8 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from recollect.llm import shared
 from recollect.llm import toxicity as X
 
 
@@ -42,14 +40,60 @@ def test_gaps_and_inserted_characters_are_caught():
     assert min(hit) > max(miss)
 
 
-def test_toxic_documents_are_told_apart(spark):
-    base = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
-    model = X.fit(X.labelled(docs, labels))
-    insults = "idiot|moron|clown|scum|trash|loser|stupid|pathetic|worthless|disgusting"
-    found = X.score_toxicity(docs, model).select("tox_score", F.lower("text").rlike(rf"\b({insults})\b").alias("bad")).collect()
-    assert sum(r.tox_score >= 0.3 for r in found if r.bad) >= 0.95 * sum(r.bad for r in found)
-    assert sum(r.tox_score >= 0.3 for r in found if not r.bad) <= 0.02 * len(found)
+def test_machine_equals_a_plain_kernel_machine():
+    """Kernel values by definition and plain gradient descent on the same loss, against the folded machine."""
+    words = ["idiot", "idiots", "moron", "house", "garden", "stone", "river", "idle", "more"]
+    y = np.array([1, 1, 1, -1, -1, -1, -1, -1, -1.0])
+    weight = np.array([2, 1, 1, 1, 1, 1, 1, 0.5, 0.5])
+    landmarks = ["idiot", "moron", "house", "idle"]
+    model = X.machine(words, y, weight, landmarks)
+    inner = np.array([[subsequence_value(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors / np.sqrt(values)
+    new = ["idixot", "morons", "houses", "tree"]
+    x, x_new = (np.array([[subsequence_value(a, b) for b in landmarks] for a in w]) @ root for w in (words, new))
+    w, bias = np.zeros(4), 0.0
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ w + bias)) * weight * y
+        w, bias = w - 0.01 * (w - 2 * x.T @ slack), bias - 0.01 * (1e-3 * bias - 2 * slack.sum())
+    assert np.allclose(model.values(new), x_new @ w + bias, atol=1e-3)
+
+
+def test_only_words_that_mark_toxic_sentences_count_as_toxic():
+    """Sentences' labels alone: words that both kinds share, and those that come once, are not learned as toxic."""
+    rng = np.random.default_rng(0)
+    syllables = ["th", "er", "on", "re", "at", "ing", "st", "en", "nd", "ti", "es", "or", "an", "ed"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    bad, good = {}, {}
+    for n in range(3_000):
+        toxic = n % 10 == 0
+        sentence = {word() for _ in range(12)} | {"the", "and"} | ({str(rng.choice(["idiot", "moron", "clown", "loser"]))} if toxic else set())
+        for w in sentence:
+            (bad if toxic else good)[w] = (bad if toxic else good).get(w, 0) + 1
+    words = sorted({*bad, *good})
+    model, positive, counts = X.train_sentences(words, np.array([bad.get(w, 0) for w in words]), np.array([good.get(w, 0) for w in words]))
+    assert set(positive) == {"idiot", "moron", "clown", "loser"} and sorted(counts) == sorted(bad[w] for w in positive)
+    assert min(model.values(["idiot", "moron", "clown", "loser", "idixot", "clowen"])) > max(model.values(["the", "and", "therering", "stander"]))
+    assert X.train_sentences(["a", "b"], np.array([0, 0]), np.array([3, 4])) is None
+
+
+def test_sentences_are_distinct_and_clean_if_a_clean_text_has_them(spark):
+    rows = spark.createDataFrame([("One two. Bad words!", 1), ("one two\nGood one", 0), ("bad words. bad words", 1), ("", 1), ("... 1 2", 0), ("w" * 30_000, 0)], "text string, toxic int")
+    found = {tuple(r.words): r.toxic for r in X.sentences_of(rows).collect()}
+    assert found == {("one", "two"): 0, ("bad", "words"): 1, ("good", "one"): 0, ("w" * 30_000,): 0}
+    many = spark.createDataFrame([(" ".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)), 1)], "text string, toxic int")
+    assert sorted(len(r.words) for r in X.sentences_of(many).collect()) == [10, 30, 30]
+
+
+def test_held_out_labels(spark):
+    """Of the held-out quarter, by the table's labels; some of them mark texts that no word sets apart."""
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "toxic")
+    rows = X.op9(spark, base).join(labels, "doc_id").where("held_out").select("predicted", "toxic", "score").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.8 * sum(r.toxic for r in rows)
+    assert hit >= 0.8 * sum(r.predicted for r in rows)
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
@@ -61,4 +105,3 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert len(found) == odd_documents.count() and all(0 <= r.tox_score <= 1 for r in found)
     assert X.score_toxicity(odd_documents, None).where("tox_score > 0").count() == 0
     assert X.score_toxicity(no_documents, model).count() == 0
-    assert shared.is_held_out is not None
