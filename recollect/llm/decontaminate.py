@@ -32,8 +32,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
-#: A fingerprint is 38 bits of a hash; in the lower 26 bits documents keep its position.
-POSITION_BITS = 26
+#: A fingerprint is 33 bits of a hash; in the lower 31 bits documents keep its position, which is less than that in any array.
+POSITION_BITS = 31
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def fingerprints_of(windows: DataFrame) -> DataFrame:
 
 
 def document_prints(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(doc_id, sig, n_words, n, print, start, words)``: a row for each fingerprint, with the words around it, and one with n = 0 for each document.
+    """``(doc_id, sig, n_words, n, print, start, words)``: a row for each fingerprint, with the words around it, and one with n = 0 for each document, whose print is a hash of its own.
 
     ``lengths`` are those that the items' windows have. For one under ten each of the
     document's sequences of so many words is a fingerprint.
@@ -63,7 +63,8 @@ def document_prints(docs: DataFrame, lengths: list[int]) -> DataFrame:
     per = WINDOW - GRAM + 1
     rows = docs.select("doc_id", F.xxhash64("text").alias("sig"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     none = "CAST(array() AS array<struct<n: int, print: bigint, start: int, words: array<string>>>)"
-    lists = ["array(struct(0 AS n, CAST(NULL AS bigint) AS print, 0 AS start, CAST(array() AS array<string>) AS words))"]
+    # No item has such a print, so these rows meet nothing in a join, and no single key takes them all.
+    lists = ["array(struct(0 AS n, xxhash64(doc_id, sig) AS print, 0 AS start, CAST(array() AS array<string>) AS words))"]
     if WINDOW in lengths:
         packed = f"transform(sequence(1, size(words) - {GRAM - 1}), i -> shiftleft(shiftrightunsigned(xxhash64(slice(words, i, {GRAM})), {POSITION_BITS}), {POSITION_BITS}) | i)"
         rows = rows.withColumn("grams", F.expr(f"CASE WHEN n_words >= {WINDOW} THEN {packed} END"))
@@ -82,17 +83,19 @@ def document_prints(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.select("doc_id", "sig", "n_words", F.expr(f"inline(concat({', '.join(lists)}))"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_000, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """Per row of ``docs``: ``doc_id, sig, n_words, n_hit, items``; sig is a hash of the text.
 
-    Null texts have no words; items without words have no window. Rows repeated in id and text
+    Null texts have no words; items without words have no window, and those without an id name nothing. Rows repeated in id and text
     get the same result each; other columns aren't read. Prints and windows of up to
-    ``broadcast_rows`` rows are broadcast, more are joined by shuffles.
+    ``broadcast_rows`` rows and ``broadcast_bytes`` are broadcast, more are joined by shuffles.
     """
     windows = shared.settled(item_windows(items))
     prints = shared.settled(fingerprints_of(windows))
     lengths = sorted(r.n for r in prints.select("n").distinct().collect())
-    small = windows.count() <= broadcast_rows
+    size = F.octet_length("window") + F.coalesce(F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 8), F.lit(0)) + 64
+    rows, held = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    small = rows <= broadcast_rows and held <= broadcast_bytes
     side = F.broadcast if small else (lambda df: df.hint("merge"))
     known = prints.withColumn("met", F.lit(True))
     met = shared.settled(document_prints(docs, lengths).join(side(known), ["n", "print"], "left").where("n = 0 OR met").drop("met"))
