@@ -16,13 +16,19 @@ from . import shared
 #: Marks of the rendered form.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
+PART = 256
+
 
 def conversations_of(turns: DataFrame) -> DataFrame:
     """``(conv_id, turns, n_turns, prints)``: ordered turns, and the rolling hash after each."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))
-    digest = "md5(concat(element_at(a, -1), ' ', length(t.role), ' ', t.role, ' ', t.text))"
-    rolling = F.expr(f"slice(aggregate(turns, array(''), (a, t) -> array_append(a, {digest})), 2, size(turns))")
+    digest = "md5(concat(element_at(c, -1), ' ', length(t.role), ' ', t.role, ' ', t.text))"
+    # Appending copies an array, so hashes are gathered in parts of bounded length, each starting with the last hash of the one before.
+    part = f"aggregate(slice(turns, b * {PART} + 1, {PART}), array(coalesce(try_element_at(try_element_at(a, -1), -1), '')), (c, t) -> array_append(c, {digest}))"
+    rolling = F.expr(
+        f"aggregate(sequence(0, (size(turns) - 1) div {PART}), CAST(array() AS array<array<string>>), (a, b) -> array_append(a, slice({part}, 2, {PART})), a -> flatten(a))"
+    )
     return listed.select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), rolling.alias("prints"))
 
 

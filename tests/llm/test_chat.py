@@ -28,3 +28,19 @@ def test_long_conversation(spark):
     turns = [(c, i, "user", "y" * 2_000) for c, n in ((1, 300), (2, 299)) for i in range(n)]
     found = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert [(r.conv_id, r.n_turns) for r in found] == [(1, 300)]
+
+
+def test_rolling_hashes_at_the_parts_borders(spark):
+    """Hashes of each prefix, one after another, for conversations around the length of a part."""
+    import hashlib
+
+    turns = [(n, i, "user", f"t{i}") for n in (1, 255, 256, 257, 513) for i in range(n)]
+    rows = chat.conversations_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for r in rows:
+        prints, last = [], ""
+        for i in range(r.conv_id):
+            last = hashlib.md5(f"{last} 4 user t{i}".encode()).hexdigest()
+            prints.append(last)
+        assert r.prints == prints
+    kept = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.conv_id for r in kept] == [513]
