@@ -70,12 +70,17 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """
     large = pages.where(F.col("n") >= least_bytes).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.min("page_id").alias("other")).where("original <> other")
-    return large.join(groups.select("digest", "original"), "digest").where("page_id <> original").select("page_id", "original").distinct()
+    # Written before it is made distinct, the join can be split where one payload has very many pages.
+    met = shared.settled(large.join(groups.select("digest", "original"), "digest").where("page_id <> original").select("page_id", "original"))
+    return met.distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file_bytes: int = 24_000_000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes three records for each row of ``pages(page_id, url, html)`` into gzip files of about ``file_bytes`` before compression under ``folder``.
 
+    Files hold as many records as pages of mean size would fill; pages over 16 times that size have
+    files of their own, so that a file is never larger than 16 times ``file_bytes`` or one page.
+
     The payload is the html in UTF-8; a null one is empty, a null url becomes ``urn:none``.
     Among equal payloads of ``least_bytes`` or more the largest page_id is the response and
     the others revisit it; rows repeated in that id are all responses. Smaller payloads and
@@ -86,7 +91,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file
         F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\r\n]", "").alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
-    mean = rows.agg(F.avg("n")).first()[0] or 0
+    mean, most = rows.agg(F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    vast = 16 * (mean + 1_500)
     known = rows.join(revisits(rows.select("page_id", "digest", "n"), least_bytes), "page_id", "left")
     # Rows repeated in id and payload are told apart by their number.
     known = known.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
@@ -110,8 +116,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file
         _record("request", _urn(F.lit("request"), F.col("page_id"), F.col("digest"), F.col("copy")), url, date, http + "request", request, concurrent),
         _record("metadata", _urn(F.lit("metadata"), F.col("page_id"), F.col("digest"), F.col("copy")), url, date, "application/warc-fields", fields, concurrent),
     )
-    per_file = max(3, int(3 * file_bytes / (mean + 1_500)))
-    known.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
+    per_file = max(3, 3 * int(file_bytes / (mean + 1_500)))
+    parts = [(F.col("n") <= vast, per_file), (F.col("n") > vast, 3)] if most > vast else [(F.lit(True), per_file)]
+    for chosen, records_per_file in parts:
+        lines = known.where(chosen).select(F.explode(records).alias("value"))
+        lines.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes, keep_blocks: bool) -> Iterator[tuple]:
@@ -188,18 +197,11 @@ def op6(spark, sf_dir):
     transactions = assemble(shared.settled(read_records(spark, folder, keep_blocks=False)))
     page = F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (-?\d+)", 1)
     rows = shared.settled(transactions.select("capture.*", page.try_cast("long").alias("page_id")))
+    shape = lambda df, original: df.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), original.alias("refers_to"))
     # A revisit's payload is that of the response that it refers to.
-    originals = rows.where("warc_type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("payload_digest").alias("o_digest"), F.col("payload_bytes").alias("o_bytes")
-    )
-    found = rows.join(originals, "refers_to", "left")
-    return found.select(
-        "page_id",
-        F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "o_digest").alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        F.col("original").alias("refers_to"),
-    )
+    originals = rows.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), "payload_digest", "payload_bytes")
+    again = rows.where("warc_type = 'revisit'").select("page_id", "warc_type", "refers_to").join(originals, "refers_to", "left")
+    return shape(rows.where("warc_type = 'response'"), F.lit(None).cast("long")).unionByName(shape(again, F.col("original")))
 
 
 OP6_SQL = """

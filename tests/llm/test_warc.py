@@ -57,3 +57,15 @@ def test_empty_table(spark, pages):
 def test_broken_archive_is_refused():
     with pytest.raises(ValueError):
         list(W.parse(b"not a record", True))
+
+
+def test_very_large_pages_have_files_of_their_own(spark):
+    """A file never holds more than one page of over 16 times the mean size."""
+    rows = [(i, f"http://a.example/{i}", "x" * (1_000_000 if i in (5, 6) else 50) + str(i)) for i in range(2_000)]
+    folder = shared.own_folder(spark, "warc-large")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    W.write_archives(pages, folder, file_bytes=100_000)
+    records = W.read_records(spark, folder).count()
+    assert records == 6_000
+    sizes = [sum(len(r[9] or b"") for r in W.parse(bytes(x.content), True)) for x in spark.read.format("binaryFile").load(folder).collect()]
+    assert sum(s > 1_000_000 for s in sizes) == 2 and max(sizes) < 1_010_000
