@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 8) -> None:
-    """Bounds what one Arrow batch holds, so that long texts don't fill a Python worker."""
+    """Bounds what one Arrow batch holds, so that long texts don't fill a Python worker.
+
+    These are settings of the session, read when a query runs, so they stay as they are set here.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
@@ -38,13 +43,39 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+#: Folders that ``settled`` wrote, by application, for those who clear them.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and cut from its lineage; lost executors can read it again."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    written = done._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if written.isDefined():
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(written.get())
+    return done
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``settled`` writes within; for work whose result is stored elsewhere by the end."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    first = len(written)
+    try:
+        yield
+    finally:
+        for folder in written[first:]:
+            delete(spark, folder)
+        del written[first:]
 
 
 def own_folder(spark: SparkSession, name: str) -> str:

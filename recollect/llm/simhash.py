@@ -5,7 +5,8 @@ differ in at most two bits some segment is equal, and the next one differs in at
 The (23, 12) Golay code is perfect: each word has one nearest codeword. The codewords nearest
 to a segment and to the 23 words one bit away from it, one or six of them, are its keys, and
 segments at most two bits apart share a key, that of the word between them. So fingerprints
-are joined on an equal segment with a shared key of the next, and verified bit by bit.
+are joined on an equal segment with a shared key of the next, and verified bit by bit. Where many share
+that, they are joined on a shared key of the third segment as well.
 """
 
 from __future__ import annotations
@@ -88,46 +89,62 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", wid
     return docs.withColumn(name, of(F.col(text).cast("binary")))
 
 
-def golay_keys(fingerprints: DataFrame) -> DataFrame:
-    """``(key, fp)``: for each segment its value with the keys of the next segment."""
+def distinct_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct Golay keys of each word, in the order of rows."""
+    near = np.sort(fuzzy_keys(words), axis=1)
+    new = np.c_[np.ones(len(words), dtype=bool), near[:, 1:] != near[:, :-1]]
+    return np.nonzero(new)[0], near[new]
+
+
+def golay_keys(fingerprints: DataFrame, third: bool = False) -> DataFrame:
+    """``(key, fp)``: for each segment its value with the keys of the next segment, and with ``third`` those of the third one too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             parts = [(fp >> at) & ((1 << size) - 1) for at, size in SEGMENTS]
-            keys, owners = [], []
+            found = [distinct_keys(p) for p in parts]
             for n in range(3):
-                near = np.sort(fuzzy_keys(parts[(n + 1) % 3]), axis=1)
-                new = np.c_[np.ones(len(fp), dtype=bool), near[:, 1:] != near[:, :-1]]
-                row, _ = np.nonzero(new)
-                keys.append((np.int64(n) << 36) | (parts[n][row] << 12) | near[new])
-                owners.append(fp[row])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "fp"])
+                row, key = found[(n + 1) % 3]
+                if third:
+                    # Each of a row's keys of the next segment goes with each of its keys of the third.
+                    other, more = found[(n + 2) % 3]
+                    many = np.bincount(other, minlength=len(fp))
+                    times = many[row]
+                    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat((np.cumsum(many) - many)[row], times)
+                    row, key = np.repeat(row, times), np.repeat(key, times) << 12 | more[at]
+                key = np.int64(n) << 47 | parts[n][row] << 24 | key
+                for first in range(0, len(key), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first : first + 50_000]), pa.array(fp[row[first : first + 50_000]])], ["key", "fp"])
 
     return fingerprints.select("fp").mapInArrow(rows, "key long, fp long")
 
 
+def bucket_pairs(keys: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(a, b)`` at two bits or fewer within buckets of up to ``bucket`` fingerprints, and the fingerprints ``(fp)`` of larger ones."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    small = keys.join(sizes.where(F.col("n") <= bucket).select("key"), "key")
+    listed = small.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("l"))
+    near = "flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> bit_count(x ^ y) <= 2), y -> struct(x AS a, y AS b))))"
+    pairs = listed.select(F.explode(F.expr(near)).alias("p")).select("p.a", "p.b")
+    return pairs, keys.join(sizes.where(F.col("n") > bucket).select("key"), "key").select("fp").distinct()
+
+
 def links(fingerprints: DataFrame, bucket: int = 64) -> DataFrame:
     """Edges ``(a, b)`` that connect just what links at two bits or fewer connect, from distinct fingerprints.
 
     Buckets of up to ``bucket`` fingerprints are joined and verified. The fingerprints of larger
-    ones take a way whose rows stay in proportion: each is written with all 65 words at most one
+    ones are dealt anew by the keys of all segments. Those of buckets that are still larger, many
+    fingerprints almost alike, take a way whose rows stay in proportion: each is written with all 65 words at most one
     bit away, and those that share such a word, which are just those at two bits or fewer, are
     joined to the smallest of them; at most 65 can share one.
     """
-    fp = fingerprints.select("fp")
-    keys = golay_keys(fp)
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = keys.join(sizes.where(F.col("n") <= bucket).select("key"), "key")
-    listed = small.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("l"))
-    pairs = listed.select(
-        F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> bit_count(x ^ y) <= 2), y -> struct(x AS a, y AS b))))")).alias("p")
-    ).select("p.a", "p.b")
-    large = keys.join(sizes.where(F.col("n") > bucket).select("key"), "key").select("fp").distinct()
+    pairs, crowded = bucket_pairs(golay_keys(fingerprints.select("fp")), bucket)
+    finer, large = bucket_pairs(golay_keys(shared.settled(crowded), third=True), bucket)
     around = large.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("word"))
     met = around.groupBy("word").agg(F.collect_list("fp").alias("l")).where("size(l) > 1")
     stars = met.select(F.array_min("l").alias("a"), F.explode("l").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(finer).unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as C
+from recollect.llm import shared, token_counts
 
 
 def test_stages_on_planted_documents(spark, tmp_path):
@@ -28,7 +29,8 @@ def test_stages_on_planted_documents(spark, tmp_path):
     kept = {}
     for r in found:
         kept[r.doc_id] = kept.get(r.doc_id, 0) + r.n_units
-    assert kept == {r[0]: len(r[1].encode()) for r in rows if r[0] not in gone}
+    encode = token_counts.ByteLevelLengths(token_counts.byte_level_tokenizer()).counts
+    assert kept == {r[0]: encode([r[1]])[0] for r in rows if r[0] not in gone}
 
 
 def test_empty_documents(spark, tmp_path):
@@ -44,3 +46,38 @@ def test_one_id_with_different_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(((r.doc_id or 0, r.text) for r in C.unique(spark, docs, "").collect()))
     assert kept == [(0, text(1)), (1, text(1)), (5, text(2)), (5, text(3))]
+
+
+def test_stages_on_odd_documents(spark, odd_documents, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns whose names stages use within: all but the last stage return the columns of documents."""
+    spark.createDataFrame([(1, 1, 0), (7, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "ça va très bien"), (None, "hello there"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd_documents.withColumnRenamed("fp", "t").withColumnRenamed("words", "sig").withColumnRenamed("size", "component").withColumnRenamed("cluster", "bad_id")
+    for name, stage in C.STAGES:
+        for docs in (odd, odd.limit(0)):
+            found = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert found.columns == C.COLUMNS
+            assert found.count() <= odd.count()
+    kept = lambda stage: sorted(((r.doc_id or 0, len(r.text or "")) for r in stage(spark, odd, str(tmp_path)).collect()))
+    texts = [(r.doc_id or 0, r.text) for r in odd.collect()]
+    assert kept(C.identified) == sorted((i, len(t)) for i, t in texts if t and any(c.isalpha() for c in t))
+    assert kept(C.civil) == sorted((i, len(t or "")) for i, t in texts)
+    # Documents without words are one group; of equal texts one stays; those without an id all stay.
+    assert [i for i, _ in kept(C.unique)] == [0, 0, 1, 3, 6, 7, 8, 9]
+    assert [i for i, _ in kept(C.unseen)] == sorted(i for i, t in texts if "ça va" not in (t or "").lower())
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    rows = [(i, f"the quick brown fox number w{i} jumps over the lazy dog", "en", "s", 50) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = shared.shared_folder(spark).removeprefix("file:")
+    listed = lambda: {os.path.join(top, d) for top, dirs, _ in os.walk(folder) for d in dirs if d.startswith(("rdd-", "pipeline-"))}
+    before = listed()
+    found = C.run(spark, str(tmp_path))
+    assert found.count() > 0
+    assert [os.path.basename(x).rsplit("-", 1)[0] for x in listed() - before] == ["pipeline-packing"]

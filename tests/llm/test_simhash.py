@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -76,6 +77,51 @@ def test_links_connect_what_pairs_connect(spark, bucket):
     }
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, (1 << 64) - 1), st.integers(0, 63), st.integers(0, 63))
+def test_two_errors_share_a_key_of_the_third_segment_too(value, a, b):
+    """Some segment is equal, and each of the others shares a key: that is what the joins go by."""
+    other = value ^ (1 << a) ^ (1 << b if a != b else 0)
+    parts = [[(v >> at) & ((1 << size) - 1) for at, size in S.SEGMENTS] for v in (value, other)]
+    keys = [[set(S.fuzzy_keys(np.array([x], dtype=np.int64))[0]) for x in p] for p in parts]
+    assert any(parts[0][n] == parts[1][n] and keys[0][(n + 1) % 3] & keys[1][(n + 1) % 3] and keys[0][(n + 2) % 3] & keys[1][(n + 2) % 3] for n in range(3))
+
+
+def test_crowded_buckets_are_dealt_by_the_third_segment(spark):
+    """Fingerprints that share two segments and spread in the third: pairs come out of the finer buckets."""
+    rng = random.Random(9)
+    fps = [(rng.getrandbits(17) << 46) | 12345 for _ in range(400)]
+    fps = sorted({*fps, *(v ^ (1 << 50) for v in fps[:100])})
+    frame = spark.createDataFrame([(v,) for v in fps], "fp long")
+    keys = S.golay_keys(frame, third=True)
+    pairs, large = S.bucket_pairs(keys, 64)
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert {tuple(r) for r in pairs.distinct().collect()} == want and large.count() == 0
+    assert keys.groupBy("fp").count().selectExpr("max(count)").first()[0] <= 108
+
+
+def test_whole_query_against_a_plain_version(spark, tiny):
+    """The registered query against a fingerprint bit by bit and a comparison of all pairs."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
+    value = {}
+    for r in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in shingles]
+        value[r.doc_id] = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    root, least = plain_components(set(value.values())), {}
+    for d, v in value.items():
+        least[root[v]] = min(d, least.get(root[v], d))
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in S.op10(spark, tiny).collect()} == {(d, f"{v:016x}", least[root[v]]) for d, v in value.items()}
+
+
+def test_similar_documents_on_odd_rows(spark, odd_documents, no_documents):
+    found = S.similar_documents(odd_documents).collect()
+    assert len(found) == odd_documents.count()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9}
+    assert S.similar_documents(no_documents).count() == 0
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (1, 0)]
     found = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
