@@ -72,13 +72,29 @@ def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, floa
             yield owner[inside], (codes[inside] * ALPHABET + codes[inside + a]) * ALPHABET + codes[inside + b], DECAY**b
 
 
+def norms(words: list[str], square: np.ndarray) -> np.ndarray:
+    """Norms of the words' features from the sum of the squared weights of their occurrences.
+
+    That sum is the squared norm where no sequence comes twice, and near it in most words; where
+    letters repeat, at least twice each on average, sequences are added up first.
+    """
+    often = [n for n, w in enumerate(words) if 2 * len(set(w)) <= len(w)]
+    if often:
+        parts = [(owner * ALPHABET**3 + sequence, np.full(len(owner), weight)) for owner, sequence, weight in occurrences([words[n] for n in often])]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, dtype=np.int64), return_inverse=True)
+        total = np.bincount(at, np.concatenate([w for _, w in parts]) if parts else None, minlength=len(keys))
+        square = square.copy()
+        square[often] = np.bincount(keys // ALPHABET**3, total * total, minlength=len(often))
+    return np.sqrt(np.maximum(square, 1e-12))
+
+
 def word_values(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Weighted sum over each word's sequences, divided by the word's norm."""
     total, square = np.zeros(len(words)), np.zeros(len(words))
     for owner, sequence, weight in occurrences(words):
         total += weight * np.bincount(owner, weights[sequence], minlength=len(words))
         square += weight * weight * np.bincount(owner, minlength=len(words))
-    return total / np.sqrt(np.maximum(square, 1e-12))
+    return total / norms(words, square)
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -88,7 +104,7 @@ def features(words: list[str]) -> np.ndarray:
     for owner, sequence, weight in occurrences(words):
         np.add.at(found, (owner, sequence), weight)
         square += weight * weight * np.bincount(owner, minlength=len(words))
-    found /= np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)
+    found /= norms(words, square)[:, None].astype(np.float32)
     return found
 
 
@@ -103,7 +119,7 @@ def kernel(words: list[str], landmarks: np.ndarray, step: int = 1_000) -> np.nda
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             found[at + owner[first]] += weight * np.add.reduceat(by_sequence[sequence], first, axis=0)
             square += weight * weight * np.bincount(owner, minlength=len(part))
-        found[at : at + len(part)] /= np.sqrt(np.maximum(square, 1e-12))[:, None]
+        found[at : at + len(part)] /= norms(part, square)[:, None]
     return found
 
 
@@ -297,11 +313,11 @@ def train_sentences(words: list[str], bad: np.ndarray, good: np.ndarray, landmar
     # Toxic and clean sentences weigh the same in all.
     model = machine([words[i] for i in both], y, 50_000 * np.r_[bad[bad > 0] / bad.sum(), good[good > 0] / good.sum()], chosen)
     # Clean sentences hold no toxic word, so one that comes in them as often is none, nor is one that comes so rarely that
-    # some word would be in as many toxic texts by chance; where few texts are labelled, the words nearest to that are taken.
+    # in one of a hundred tables some word would be in as many toxic texts by chance; where few texts are labelled, the words nearest to that are taken.
     # What clean words reach tells what the first machine sets apart.
     part = bad.sum() / (bad.sum() + good.sum())
     chance = bad * np.log(np.maximum(bad, 1) / ((bad + good) * part)) + good * np.log(np.maximum(good, 1) / ((bad + good) * (1 - part)))
-    mostly = (bad > good) & (chance > min(np.log(len(words)), 0.5 * chance[bad > good].max(initial=0.0)))
+    mostly = (bad > good) & (chance > min(np.log(len(words) / 0.01), 0.5 * chance[bad > good].max(initial=0.0)))
     for turn in range(rounds):
         value = model.values(words)
         limit = np.quantile(value[~mostly], 0.99) if turn == 0 and not mostly.all() else 0.0

@@ -11,9 +11,16 @@ def subsequence_value(a, b):
         n = range(len(codes))
         return [((codes[i], codes[j], codes[k]), X.DECAY ** (k - i)) for i in n for j in n for k in n if i < j < k <= i + X.SPAN]
 
+    def square(word):
+        """Of the features where letters repeat, else of the occurrences."""
+        total = {}
+        for n, (s, w) in enumerate(paths(word)):
+            key = s if 2 * len(set(word)) <= len(word) else n
+            total[key] = total.get(key, 0) + w
+        return sum(w * w for w in total.values())
+
     p, q = paths(a), paths(b)
-    norm = np.sqrt(sum(w * w for _, w in p) * sum(w * w for _, w in q))
-    return sum(x * y for s, x in p for t, y in q if s == t) / norm
+    return sum(x * y for s, x in p for t, y in q if s == t) / np.sqrt(square(a) * square(b))
 
 
 def test_kernel_is_the_subsequence_kernel():
@@ -24,6 +31,14 @@ def test_kernel_is_the_subsequence_kernel():
             assert found[i, j] == pytest.approx(subsequence_value(a, b), abs=1e-6)
 
 
+def test_long_runs_of_letters_have_no_large_value():
+    model = X.train_words(["idiot", "moron", "papa"], ["house", "garden", "window", "anna"])
+    lengths = ["a" * n for n in (20, 200, 5_000)] + ["ab" * n for n in (20, 200, 5_000)]
+    values = model.values(lengths)
+    assert np.allclose(values[:3], values[0], atol=0.1) and np.allclose(values[3:], values[3], atol=0.1)
+    assert (np.abs(values - model.bias) <= np.linalg.norm(model.weights) + 1e-6).all()
+
+
 def test_folding_equals_the_sum_over_landmarks():
     basis = X.features(["idiot", "clown", "house"])
     beta = np.array([1.0, -2.0, 0.5])
