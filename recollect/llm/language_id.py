@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Signs that count as word characters but are neither letters nor decimal digits, such as fractions and circled numbers.
-NUMBER_SIGNS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0x80, 0x110000)))) if not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
+#: Runs of letters, and of signs such as fractions and circled numbers, which are neither letters nor decimal digits; those are taken out afterwards.
+WORD = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are cut, in learning as in prediction, so that no product underflows.
 RUN = 48
 START = "▁"
@@ -36,6 +35,14 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def letter_runs(text: str) -> list[str]:
+    """All runs of letters, in order."""
+    words = WORD.findall(text)
+    if not all(map(str.isalpha, words)):
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
+
+
 @dataclass
 class PieceVocabulary:
     """Pieces of letters, with or without the word-start mark; the last row stands for a letter without a piece."""
@@ -129,7 +136,7 @@ class LanguageModel:
 
     def words_of(self, text: str) -> list[str]:
         """Lower-case runs of letters, longer ones than RUN in parts."""
-        words = WORD.findall(text.lower())
+        words = letter_runs(text.lower())
         if any(len(w) > RUN for w in words):
             words = [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
         return words

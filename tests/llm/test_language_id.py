@@ -64,7 +64,7 @@ def test_odd_rows(spark, odd_documents, no_documents):
 
 
 def test_number_signs_are_no_letters_and_long_runs_count_whole(spark):
-    assert L.WORD.findall("½ ² ① Ⅷ ٣ x² é½a Ωπ 漢字_ん") == ["x", "é", "a", "Ωπ", "漢字", "ん"]
+    assert L.letter_runs("½ ² ① Ⅷ ٣ x² é½a Ωπ 漢字_ん") == ["x", "é", "a", "Ωπ", "漢字", "ん"]
     rows = [(1, "½ ² ①", "fr"), (2, "der hund und " + "schiff" * 40, "de"), (3, "le chien et la maison", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = L.fit(docs)
@@ -100,7 +100,7 @@ def test_whole_query_against_a_plain_version(spark, tiny):
     rows = docs.collect()
     assert len(found) == len(rows)
     for r in rows:
-        words = [w for run in L.WORD.findall((r.text or "").lower()) for w in [run[i : i + L.RUN] for i in range(0, len(run), L.RUN)]]
+        words = [w for run in L.letter_runs((r.text or "").lower()) for w in [run[i : i + L.RUN] for i in range(0, len(run), L.RUN)]]
         if not words:
             assert found[r.doc_id].lang_pred == "und"
             continue
