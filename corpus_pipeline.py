@@ -62,9 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents")
+    """What the last stage returns; what the stages wrote besides is deleted as soon as the next one is stored."""
+    docs, before = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = shared.own_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        with shared.cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            shared.delete(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
