@@ -2,30 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import dot, unit
 
+#: Similarities of the first pass may be off by this much.
+SLACK = 1e-9
+
+
+def unit_matrix(lists: pa.ListArray, size: int) -> np.ndarray:
+    """Rows of length one in doubles; zero stays zero. Lists that are null, of another length or hold nulls or NaN are all NaN."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64)).astype(np.int64)
+    whole = np.full((len(lists), size), np.nan)
+    rows = np.flatnonzero(lengths == size)
+    if size and len(rows):
+        whole[rows] = values[(np.cumsum(lengths)[rows] - size)[:, None] + np.arange(size)[None, :]]
+    norm = np.sqrt((whole * whole).sum(axis=1, keepdims=True))
+    return np.where(norm == 0, 0.0, whole / np.where(norm == 0, 1.0, norm))
+
+
+def may_be_nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """(row, column) of the similarities that may be among the ``k`` greatest of their column; NaN is the least."""
+    known = np.where(np.isnan(sims), -np.inf, sims)
+    least = np.partition(known, len(known) - k, axis=0)[len(known) - k] if len(known) > k else np.full(known.shape[1], -np.inf)
+    return np.argwhere(known >= least[None, :] - SLACK)
+
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False) -> DataFrame:
     """``(query_id, <item_id>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
 
-    ``queries(query_id, embedding[, type])`` are checked to be ``most_queries`` at most and then
-    broadcast, so items are read where they are, each compared with every query in one scan;
-    the ranking keeps ``k`` rows a task and query before its shuffle. More queries are
-    taken in that many rounds of a bounded number. ``same_type`` also asks for equal types.
+    Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix;
+    what may be among the ``k`` nearest goes on, a few rows for each batch and query, and is compared again, by
+    the sum in the order of coordinates. More queries are taken in that many rounds. ``same_type`` also asks for
+    equal types; null types equal none. Items whose vector is null or of another length have a null similarity and come last.
     """
     n = queries.count()
     rounds = max(1, -(-n // most_queries))
     typed = ["type"] if same_type else []
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q"), *typed)
-    i = items.select(item_id, unit(F.col("embedding")).alias("v"), *typed)
+    q = queries.select("query_id", "embedding", *typed)
+    # One batch has all types, so a type's matches are found among those of its own.
+    i = items.select(item_id, "embedding", *typed)
+    schema = items.select(F.lit(0).alias("__q"), item_id, "embedding").schema
     found = None
     for r in range(rounds):
-        part = q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
-        pairs = i.join(F.broadcast(part), "type") if same_type else i.join(F.broadcast(part))
-        scored = pairs.select("query_id", item_id, dot(F.col("v"), F.col("q")).alias("sim"))
+        part = (q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).withColumn("__q", F.row_number().over(Window.orderBy("query_id")))
+        part = queries.sparkSession.createDataFrame(part.toArrow())
+        asked = part.select("__q", "embedding", *typed).toArrow()
+        size = max((len(v) for v in asked["embedding"].to_pylist() if v is not None), default=0)
+        matrix = unit_matrix(asked["embedding"].combine_chunks(), size) if len(asked) else np.zeros((0, 0))
+        numbers = asked["__q"].to_numpy()
+        kinds = np.array(asked["type"].to_pylist(), dtype=object) if same_type else None
+        known = queries.sparkSession.sparkContext.broadcast((matrix, numbers, kinds))
+
+        def rows(batches: Iterator[pa.RecordBatch], known=known, size=size) -> Iterator[pa.RecordBatch]:
+            matrix, numbers, kinds = known.value
+            step = max(k + 1, 4_000_000 // max(1, len(numbers)))
+            for whole in batches:
+                for at in range(0, len(whole) if len(numbers) else 0, step):
+                    batch = whole.slice(at, step)
+                    units = unit_matrix(batch.column("embedding"), size)
+                    groups = [(np.arange(len(batch)), np.arange(len(numbers)))]
+                    if kinds is not None:
+                        own = np.array(batch.column("type").to_pylist(), dtype=object)
+                        groups = [(np.flatnonzero(own == t), np.flatnonzero(kinds == t)) for t in set(kinds) & set(own) if t is not None]
+                    for items_of, queries_of in groups:
+                        met = may_be_nearest(units[items_of] @ matrix[queries_of].T, k)
+                        some = batch.take(pa.array(items_of[met[:, 0]]))
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[queries_of[met[:, 1]]], pa.int32()), some.column(item_id), some.column("embedding")], ["__q", item_id, "embedding"])
+
+        near = i.mapInArrow(rows, schema).withColumnRenamed("embedding", "v")
+        pairs = near.join(F.broadcast(part.select("__q", "query_id", "embedding")), "__q")
+        value = dot(unit(F.col("v")), unit(F.col("embedding")))
+        scored = pairs.select("query_id", item_id, F.when(~F.isnan(value), value).alias("sim"))
         order = Window.partitionBy("query_id").orderBy(F.desc("sim"), item_id)
         ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)
