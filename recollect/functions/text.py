@@ -77,17 +77,25 @@ def verdict(answer: Column) -> Column:
 
 
 def edge_label(relation: Column, subtype: Column, kind: Column, value: Column, unit: Column, scope: Column) -> Column:
-    """``TYPE[subtype] {kind=value unit, scope=...}``; parts without a value are left out."""
-    quantity = F.when(value.isNotNull(), F.concat(F.coalesce(kind, F.lit("value")), F.lit("="), value, F.coalesce(F.concat(F.lit(" "), unit), F.lit(""))))
+    """``TYPE[subtype] {kind=value unit, scope=...}``; parts without a value are left out, and a value without a kind is a ``quantity``."""
+    quantity = F.when(value.isNotNull(), F.concat(F.coalesce(kind, F.lit("quantity")), F.lit("="), value, F.coalesce(F.concat(F.lit(" "), unit), F.lit(""))))
     extra = F.array_join(F.filter(F.array(quantity, F.when(scope.isNotNull(), F.concat(F.lit("scope="), scope))), lambda x: x.isNotNull()), ", ")
     named = F.concat(relation, F.coalesce(F.concat(F.lit("["), subtype, F.lit("]")), F.lit("")))
     return F.when(extra == "", named).otherwise(F.concat(named, F.lit(" {"), extra, F.lit("}")))
 
 
 def entity_header(name: Column, kind: Column, distance: Column, path: Column) -> Column:
-    """``Name (Type) [seed]`` or ``Name (Type) [n hops via A → B]``; path is an array of labels."""
-    via = F.concat(F.lit("["), distance.cast("string"), F.when(distance == 1, " hop via ").otherwise(" hops via "), F.array_join(path, " → "), F.lit("]"))
-    return F.concat(name, F.lit(" ("), kind, F.lit(") "), F.when(distance == 0, "[seed]").otherwise(via))
+    """``Name (Type) [seed]`` or ``Name (Type) [n hops via A → B]``; path is an array of labels, which may be empty."""
+    steps = F.when(F.size(path) > 0, F.concat(F.lit(" via "), F.array_join(path, " → "))).otherwise("")
+    return F.concat(name, F.lit(" ("), kind, F.lit(") "), F.when(distance == 0, "[seed]").otherwise(F.concat(F.lit("["), distance.cast("string"), F.lit(" hops"), steps, F.lit("]"))))
+
+
+def search_block(entities: Column, chunks: Column) -> Column:
+    """A search result as text: a line for each of ``entities(name, type, labels)``, then, if there are any, ``chunks(title, text)`` as passages."""
+    line = lambda e: F.concat(F.lit("- "), e["name"], F.lit(" ("), e["type"], F.lit(")"), F.when(F.size(e["labels"]) > 0, F.concat(F.lit(" [via "), F.array_join(e["labels"], " → "), F.lit("]"))).otherwise(""))
+    passage = F.transform(chunks, lambda c: F.concat(F.lit("["), c["title"], F.lit("]\n"), c["text"]))
+    heads = F.concat(F.array(F.lit("## Entities")), F.transform(entities, line))
+    return F.array_join(F.when(F.size(chunks) > 0, F.concat(heads, F.array(F.lit("\n## Source Passages")), passage)).otherwise(heads), "\n")
 
 
 def transcript_line(role: Column, content: Column) -> Column:

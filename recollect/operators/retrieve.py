@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import Weights, reinforcement, score
+from ..functions.text import edge_label, entity_header
 from . import graph, vectors
+from .facts import QUALIFIERS
 
 
 @dataclass
@@ -77,7 +79,8 @@ def search(
     # A few rows for each query, which the traversal and the scoring both start from.
     alive = graph.held(hydrate(seeds, memory.entities, memory.relations))
     live = memory.relations.where("valid_until IS NULL")
-    step = F.struct(F.col("edge_id").cast("string").alias("edge_id"), "type", "subtype", "confidence", "access_count", F.col("last_accessed").cast("string").alias("last_accessed"))
+    qualifiers = [(F.col(c) if c in live.columns else F.lit(None)).cast("string").alias(c) for c in QUALIFIERS]
+    step = F.struct(F.col("edge_id").cast("string").alias("edge_id"), "type", "subtype", "confidence", "access_count", F.col("last_accessed").cast("string").alias("last_accessed"), *qualifiers)
     paths = graph.shortest_paths(alive.select("query_id", F.col("entity_id").alias("seed")), live, hops, step, ["query_id"])
     spread = paths.join(alive.select("query_id", F.col("entity_id").alias("seed"), "sim"), ["query_id", "seed"]).select(
         "query_id", F.col("target").alias("entity_id"), "sim", "distance", "path"
@@ -104,6 +107,24 @@ def search(
     return ranked, cut
 
 
+def labels_of(path: Column) -> Column:
+    """The labels of a path's edges, with their subtypes and qualifiers."""
+    return F.transform(path, lambda x: edge_label(x["type"], x["subtype"], x["quantity_kind"], x["quantity_value"], x["quantity_unit"], x["time_scope"]))
+
+
+def as_documents(found: DataFrame, chunks: DataFrame, entities: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(query_id, kind, position, id, content, score)``: the entities of a search as headers, then its chunks' texts.
+
+    ``entities(entity_id, name, type)`` and ``passages(chunk_id, text)`` give what to show; positions count on from entities to chunks.
+    """
+    named = found.join(entities.select("entity_id", "name", "type"), "entity_id")
+    first = named.select("query_id", F.lit("entity").alias("kind"), F.col("rank").alias("position"), F.col("entity_id").alias("id"), entity_header(F.col("name"), F.col("type"), F.col("distance"), labels_of(F.col("path"))).alias("content"), "score")
+    many = found.groupBy("query_id").agg(F.max("rank").alias("many"))
+    then = chunks.join(passages.select("chunk_id", "text"), "chunk_id").join(many, "query_id", "left")
+    place = (F.coalesce("many", F.lit(0)) + F.col("rank")).alias("position")
+    return first.unionByName(then.select("query_id", F.lit("chunk").alias("kind"), place, F.col("chunk_id").alias("id"), F.col("text").alias("content"), F.col("sim").alias("score")))
+
+
 def touches_of(entities: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """Log rows ``(entity_id, ts)`` and ``(edge_id, ts)`` that reinforce what a search returned."""
     nodes = entities.select("entity_id", at.alias("ts")).distinct()
@@ -155,4 +176,4 @@ def allow_entities(scope: DataFrame, turns: DataFrame, mentions: DataFrame) -> D
     return both.unionByName(only_session).unionByName(only_time)
 
 
-__all__ = ["Memory", "allow_entities", "graph_only", "hydrate", "propagate", "search", "seeds_of", "touches_of", "vector_only"]
+__all__ = ["Memory", "allow_entities", "as_documents", "graph_only", "hydrate", "labels_of", "propagate", "search", "seeds_of", "touches_of", "vector_only"]

@@ -144,8 +144,8 @@ def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_REL = {s: c for c, all_ in V.RELATION_SYNONYMS.items() for s in all_.split()}
-_ENT = {s: c for c, all_ in V.ENTITY_SYNONYMS.items() for s in all_.split()} | {c.lower(): c for c in V.ENTITY_TYPES}
+_REL = {s: c for c, all_ in V.RELATION_SYNONYMS.items() for s in all_}
+_ENT = {s: c for c, all_ in V.ENTITY_SYNONYMS.items() for s in all_} | {c.lower(): c for c in V.ENTITY_TYPES}
 _SHAPED = r"replace(upper(regexp_replace(raw, '^\s+|\s+$', '', 'g')), ' ', '_')"
 _SUB = "nullif(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_'), '')"
 _RAW = "raws AS (SELECT event_id, {l}[event_id % {n} + 1] AS raw FROM events)"

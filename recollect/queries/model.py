@@ -140,7 +140,7 @@ BRANDS = """a AS (
 
 
 def vector_memory(spark: SparkSession, sf_dir: str):
-    """Embeddings as entities and chunks of a hundred documents, with a ring of relations, some of them superseded."""
+    """Embeddings as entities, some of them stubs, and chunks of a hundred documents, with a ring of relations, some of them superseded or qualified."""
     from ..operators.retrieve import Memory
 
     v = table(spark, sf_dir, "embeddings")
@@ -148,19 +148,26 @@ def vector_memory(spark: SparkSession, sf_dir: str):
     key = lambda c: F.concat(F.lit("E"), F.lpad(c.cast("string"), 9, "0"))
     vec = F.col("vec_id")
     entities = v.select(
-        key(vec).alias("entity_id"), F.concat(F.lit("v"), vec.cast("string")).alias("name"), F.col("label").cast("string").alias("type"), F.lit(True).alias("canonical"),
+        key(vec).alias("entity_id"), F.concat(F.lit("v"), vec.cast("string")).alias("name"), F.col("label").cast("string").alias("type"), (vec % 13 != 0).alias("canonical"),
         (vec % 7).alias("access_count"), F.when(vec % 7 > 0, at).alias("last_accessed"), "embedding",
     )
     chunks = v.select(F.concat(F.lit("K"), F.lpad(vec.cast("string"), 9, "0")).alias("chunk_id"), (vec % 100).alias("doc_id"), "embedding")
     extracted = v.select(key(vec).alias("entity_id"), (vec * 3 % 100).alias("doc_id"))
     relations = v.select(
         F.concat(F.lit("R"), F.lpad(vec.cast("string"), 9, "0")).alias("edge_id"), key(vec).alias("subject_id"), key((vec * 7 + 3) % 500).alias("object_id"),
-        F.concat(F.lit("T"), F.col("label").cast("string")).alias("type"), F.lit(None).cast("string").alias("subtype"), (0.5 + vec % 50 / 100).alias("confidence"),
+        F.concat(F.lit("T"), F.col("label").cast("string")).alias("type"), F.when(vec % 4 == 0, F.concat(F.lit("s"), (vec % 3).cast("string"))).alias("subtype"), (0.5 + vec % 50 / 100).alias("confidence"),
+        F.when(vec % 6 == 0, (vec % 10).cast("string")).alias("quantity_value"), F.when(vec % 12 == 0, "h").alias("quantity_unit"),
+        F.when((vec % 6 == 0) & (vec % 18 != 0), "hours").alias("quantity_kind"), F.when(vec % 5 == 0, "weekly").alias("time_scope"),
         (vec % 5).alias("access_count"), F.when(vec % 5 > 0, at).alias("last_accessed"), F.when(vec % 11 == 0, at).alias("valid_until"),
     )
     return Memory(entities, chunks, extracted, relations)
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chunk of the vector memory says, and its document's title."""
+    return vector_memory(spark, sf_dir).chunks.select("chunk_id", "doc_id", F.concat(F.lit("passage "), F.col("chunk_id")).alias("text"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"))
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 50."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("type"))
@@ -172,14 +179,17 @@ sims AS (SELECT query_id, vec_id, label, qlabel, list_cosine_similarity(v, qv) A
 
 MEMORY = VECTORS + """,
 ent AS (SELECT vec_id AS id, 'E' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS entity_id, vec_id % 7 AS access_count,
-        CASE WHEN vec_id % 7 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(vec_id % 700) END AS last_accessed FROM e),
+        CASE WHEN vec_id % 7 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(vec_id % 700) END AS last_accessed FROM e WHERE vec_id % 13 <> 0),
 rel AS (SELECT 'R' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS edge_id, 'E' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS s,
         'E' || lpad(CAST((vec_id * 7 + 3) % 500 AS VARCHAR), 9, '0') AS o, 0.5 + (vec_id % 50) / 100.0 AS confidence, vec_id % 5 AS n,
         CASE WHEN vec_id % 5 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(vec_id % 700) END AS la, vec_id % 11 = 0 AS dead FROM e),
+lab AS (SELECT 'R' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS edge_id, 'T' || label || CASE WHEN vec_id % 4 = 0 THEN '[s' || vec_id % 3 || ']' ELSE '' END ||
+        CASE WHEN vec_id % 6 = 0 OR vec_id % 5 = 0 THEN ' {' || concat_ws(', ', CASE WHEN vec_id % 6 = 0 THEN CASE WHEN vec_id % 18 = 0 THEN 'quantity' ELSE 'hours' END || '=' || vec_id % 10 || CASE WHEN vec_id % 12 = 0 THEN ' h' ELSE '' END END,
+        CASE WHEN vec_id % 5 = 0 THEN 'scope=weekly' END) || '}' ELSE '' END AS text FROM e),
 direct AS (SELECT query_id, 'E' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS entity_id, vec_id, sim FROM sims
            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5),
 docs AS (SELECT query_id, vec_id % 100 AS doc_id, max(sim) AS sim FROM direct GROUP BY ALL),
-through AS (SELECT query_id, ent.entity_id, max(sim) AS sim FROM docs JOIN ent ON ent.id * 3 % 100 = doc_id GROUP BY ALL),
+through AS (SELECT query_id, 'E' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS entity_id, max(sim) AS sim FROM docs JOIN e ON vec_id * 3 % 100 = doc_id GROUP BY ALL),
 seeds AS (SELECT query_id, entity_id, max(sim) AS sim FROM (SELECT query_id, entity_id, sim FROM direct UNION ALL SELECT * FROM through) GROUP BY ALL),
 ends AS (SELECT s AS entity_id, dead FROM rel UNION ALL SELECT o, dead FROM rel),
 alive AS (SELECT * FROM seeds WHERE entity_id NOT IN (SELECT entity_id FROM ends GROUP BY 1 HAVING bool_and(dead)) AND entity_id IN (SELECT entity_id FROM ent))"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..operators import coerce, provenance, vectors
 from . import model as M
 
@@ -36,6 +37,19 @@ def coerce_by_centroid(spark, sf_dir):
     return found.select("raw", "type", F.round("sim", 5).alias("sim"))
 
 
+#: Raw relation types of every kind: blank, synonyms, canonical ones and novel ones, in any case and spacing.
+RAW_TYPES = ("", "  ", "works at", "EMPLOYED_BY", "uses", "RUNS ON", "HAS_TITLE", "created", "LIVES_IN", "located in", "sponsored", "HAS_RIVAL", "rides with", "MENTORED", "FAMILY_OF", "approved")
+
+
+def coerce_relation_type(spark, sf_dir):
+    """Raw types stand for the first vectors and canonical ones for those from the hundredth on; nearness is asked for as low as such vectors come."""
+    listed = spark.createDataFrame(list(enumerate(RAW_TYPES)), "vec_id long, raw string")
+    known = spark.createDataFrame([(100 + n, c) for n, c in enumerate(V.RELATION_TYPES)], "vec_id long, canonical string")
+    rows = M.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = coerce.coerce_relation_types(listed.join(rows, "vec_id").select("raw", "embedding"), known.join(rows, "vec_id").select("canonical", "embedding"), 0.2, 0.25)
+    return found.select("raw", "type", F.round("sim", 6).alias("sim"))
+
+
 def _mentions(spark, sf_dir, kind=None):
     q = M.vector_queries(spark, sf_dir).withColumnRenamed("query_id", "mention_id")
     return q.withColumn("type", F.lit(kind)) if kind else q
@@ -83,12 +97,24 @@ def touch_counters(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_topk_typed, coerce_by_centroid, resolve_threshold, resolve_unknown_type, alias_stubs, entity_merge, touch_counters)
+    for f in (vector_topk, vector_topk_typed, coerce_by_centroid, resolve_threshold, resolve_unknown_type, coerce_relation_type, alias_stubs, entity_merge, touch_counters)
 }
 
 _RESOLVED = f"""WITH {M.VECTORS}, best AS (SELECT query_id, vec_id, sim FROM sims WHERE vec_id % 50 <> 0 {{typed}} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) = 1)"""
 _ID = "sha256({a} || chr(0) || {b})"
+_RAW = ", ".join(f"({n}, '{r}')" for n, r in enumerate(RAW_TYPES))
+_CANONICAL = ", ".join(f"({100 + n}, '{c}')" for n, c in enumerate(V.RELATION_TYPES))
+_SYNONYM = ", ".join(f"('{s}', '{c}')" for c, every in V.RELATION_SYNONYMS.items() for s in every)
 ORACLES = {
+    "coerce_relation_type": f"""WITH raws(vec_id, raw) AS (VALUES {_RAW}), known(vec_id, canonical) AS (VALUES {_CANONICAL}), synonym(s, c) AS (VALUES {_SYNONYM}),
+        r AS (SELECT raw, replace(upper(trim(raw)), ' ', '_') AS shaped, embedding::DOUBLE[] AS v FROM raws JOIN embeddings USING (vec_id)),
+        k AS (SELECT canonical, embedding::DOUBLE[] AS v FROM known JOIN embeddings USING (vec_id)),
+        sims AS (SELECT raw, canonical, list_cosine_similarity(r.v, k.v) AS sim FROM r, k),
+        best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY raw ORDER BY sim DESC, canonical) = 1),
+        own AS (SELECT s.raw, s.sim AS own FROM sims s JOIN r USING (raw) WHERE s.canonical = r.shaped)
+        SELECT raw, CASE WHEN shaped = '' THEN 'RELATED_TO' WHEN c IS NOT NULL THEN c WHEN own IS NOT NULL THEN CASE WHEN sim >= own + 0.25 THEN canonical ELSE shaped END WHEN sim >= 0.2 THEN canonical ELSE shaped END AS type,
+               round(CASE WHEN shaped = '' THEN 0.0 WHEN c IS NOT NULL THEN 1.0 WHEN own IS NOT NULL THEN CASE WHEN sim >= own + 0.25 THEN sim ELSE 1.0 END ELSE sim END, 6) AS sim
+        FROM r JOIN best USING (raw) LEFT JOIN own USING (raw) LEFT JOIN synonym ON shaped = s""",
     "vector_topk": f"WITH {M.VECTORS} SELECT query_id, vec_id AS item_id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5",
     "vector_topk_typed": f"WITH {M.VECTORS} SELECT query_id, vec_id AS item_id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM sims WHERE label = qlabel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5",
     "coerce_by_centroid": f"""WITH {M.VECTORS}, x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM e), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL),
