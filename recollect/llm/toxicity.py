@@ -108,31 +108,37 @@ def features(words: list[str]) -> np.ndarray:
     return found
 
 
-def kernel(words: list[str], landmarks: np.ndarray, step: int = 1_000) -> np.ndarray:
-    """Kernel values of words (rows) and landmarks (columns), some words at a time."""
+def kernel(words: list[str], landmarks: np.ndarray, map_to: np.ndarray | None = None, step: int = 1_000) -> np.ndarray:
+    """Kernel values of words (rows) and landmarks (columns), or their products with ``map_to`` in single precision, some words at a time."""
     by_sequence = np.ascontiguousarray(landmarks.T, dtype=np.float32)
-    found = np.zeros((len(words), by_sequence.shape[1]))
+    columns, kind = (by_sequence.shape[1], np.float64) if map_to is None else (map_to.shape[1], np.float32)
+    found = np.zeros((len(words), columns), dtype=kind)
     for at in range(0, len(words), step):
         part = words[at : at + step]
-        square = np.zeros(len(part))
+        values, square = np.zeros((len(part), by_sequence.shape[1])), np.zeros(len(part))
         for owner, sequence, weight in occurrences(part):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            found[at + owner[first]] += weight * np.add.reduceat(by_sequence[sequence], first, axis=0)
+            values[owner[first]] += weight * np.add.reduceat(by_sequence[sequence], first, axis=0)
             square += weight * weight * np.bincount(owner, minlength=len(part))
-        found[at : at + len(part)] /= norms(part, square)[:, None]
+        values /= norms(part, square)[:, None]
+        found[at : at + len(part)] = values if map_to is None else values @ map_to
     return found
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.eye(x1.shape[1])
+def squared_hinge(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, cost: float, rounds: int = 25, step: int = 8_192) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; a row has a weight as a positive and one as a negative."""
+    ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-3
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(len(ridge))
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        xs, c = x1[inside], cost * weight[inside]
-        after = np.linalg.solve(ridge + 2 * (xs * c[:, None]).T @ xs, 2 * xs.T @ (c * y[inside]))
+        gram, right = ridge.copy(), np.zeros(len(ridge))
+        for at in range(0, len(x), step):
+            part = np.hstack([x[at : at + step].astype(float), np.ones((len(x[at : at + step]), 1))])
+            value = part @ w
+            up, down = (np.where(inside < 1, cost * c[at : at + step], 0.0) for inside, c in ((value, plus), (-value, minus)))
+            gram += 2 * (part * (up + down)[:, None]).T @ part
+            right += 2 * part.T @ (up - down)
+        after = np.linalg.solve(gram, right)
         if np.allclose(after, w, atol=1e-7):
             break
         w = after
@@ -267,7 +273,8 @@ def machine(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     distinct, at = np.unique(np.array(words, dtype=object), return_inverse=True)
-    w, bias = squared_hinge((kernel(distinct.tolist(), basis) @ root)[at], y, weight, cost)
+    plus, minus = (np.bincount(at, np.where(sign * y > 0, weight, 0.0), minlength=len(distinct)) for sign in (1, -1))
+    w, bias = squared_hinge(kernel(distinct.tolist(), basis, root), plus, minus, cost)
     return ToxicityModel((basis.T @ (root @ w).astype(np.float32)).astype(float), bias)
 
 
