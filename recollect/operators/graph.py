@@ -60,34 +60,34 @@ def held(df: DataFrame) -> DataFrame:
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``(seed, target, distance)`` of all nodes within ``hops``; for callers that need no path."""
-    if not 1 <= hops <= MOST_HOPS:
-        raise ValueError(f"hops must be from 1 to {MOST_HOPS}")
-    both = undirected(edges).select("src", "dst").distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
-    every = frontier.withColumn("distance", F.lit(0))
-    for h in range(1, hops + 1):
-        frontier = frontier.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        every = every.unionByName(frontier.withColumn("distance", F.lit(h)))
-    least = every.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
-    return least.where("distance > 0").withColumnRenamed("node", "target")
+    return shortest_paths(seeds, edges, hops).select("seed", "target", "distance")
 
 
-def all_paths(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """``(seed, target, distance, edge_ids)``: every path of at most ``min(hops, 3)`` edges that uses no edge twice and doesn't end at its seed."""
+def all_paths(seeds: DataFrame, edges: DataFrame, hops: int, names: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """``(seed, target, distance, edge_ids)``: every path of at most ``min(hops, 3)`` edges that uses no edge twice and doesn't end at its seed.
+
+    With ``names(target)`` and ``limit`` a seed goes no further once it has that many paths to such targets, for callers
+    that take the nearest ones.
+    """
     both = undirected(edges).select("src", "dst", "edge_id")
     paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("edge_ids")).distinct()
-    found = None
+    found = met = None
     for h in range(1, min(hops, 3) + 1):
         stepped = paths.join(both, F.col("node") == F.col("src")).where(~F.array_contains("edge_ids", F.col("edge_id").cast("string")))
-        paths = stepped.select("seed", F.col("dst").alias("node"), F.array_append("edge_ids", F.col("edge_id").cast("string")).alias("edge_ids"))
+        paths = held(stepped.select("seed", F.col("dst").alias("node"), F.array_append("edge_ids", F.col("edge_id").cast("string")).alias("edge_ids")))
         new = paths.withColumn("distance", F.lit(h))
         found = new if found is None else found.unionByName(new)
+        if limit is not None and h < min(hops, 3):
+            here = paths.where("node <> seed").join(names, F.col("node") == F.col("target"), "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+            met = here if met is None else met.unionByName(here).groupBy("seed").agg(F.sum("n").alias("n"))
+            paths = paths.join(met.where(F.col("n") >= limit).select("seed"), "seed", "left_anti")
     return found.where("node <> seed").withColumnRenamed("node", "target")
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, names: DataFrame, hops: int = 2, limit: int = 25) -> DataFrame:
     """Paths of ``all_paths`` with the target's name, each seed's nearest ``limit`` by distance, name and path."""
-    named = all_paths(seeds, edges, hops).join(names.select(F.col("entity_id").alias("target"), "name"), "target")
+    targets = names.select(F.col("entity_id").alias("target"), "name")
+    named = all_paths(seeds, edges, hops, targets.select("target"), limit).join(targets, "target")
     order = Window.partitionBy("seed").orderBy("distance", "name", "edge_ids")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
