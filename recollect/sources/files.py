@@ -1,7 +1,9 @@
-"""Text and JSON sources, and versioned Parquet tables as sinks."""
+"""Text and JSON sources, and tables of committed Parquet batches as sinks."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def text_documents(spark: SparkSession, path: str, pattern: str | None = None, s
     return files.select("path", title.alias("title"), F.lit(source_type).alias("source_type"), text.alias("text"))
 
 
+def unreadable(docs: DataFrame) -> DataFrame:
+    """Files of ``text_documents`` that aren't UTF-8; a loader stops at them or goes on with the rest, as it likes."""
+    return docs.where("text IS NULL").select("path")
+
+
 def numbered_turns(docs: DataFrame, session_id: str) -> DataFrame:
     """Documents with ``session_id`` and ``turn_id`` t0, t1, ... by path; numbering counts each path's predecessors by ranges, not in one task."""
     ordered = docs.repartitionByRange("path").withColumn("part", F.spark_partition_id())
@@ -47,42 +54,88 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-class Store:
-    """Named Parquet tables under a folder; a write makes a new version, and readers see the last whole one."""
+class Batch:
+    """Rows on their way into a store's tables; nothing of them is seen before ``commit``."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs
+    def __init__(self, store: Store, number: int) -> None:
+        self.store, self.number, self.token = store, number, uuid.uuid4().hex
+        self.names: list[str] = []
 
-    def _path(self, path: str):
-        return self._fs.Path(path)
+    def write(self, name: str, rows: DataFrame) -> None:
+        columns = self.store.schemas[name]
+        rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in columns.fields]).write.parquet(self.store.place(name, self.number, self.token))
+        self.names.append(name)
 
-    def _versions(self, name: str) -> list[int]:
-        top = self._path(f"{self.folder}/{name}")
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
-        names = [x.getPath() for x in fs.listStatus(top)]
-        return sorted(int(p.getName()[1:]) for p in names if fs.exists(self._path(f"{p}/_SUCCESS")))
+    def commit(self, base: bool = False) -> None:
+        """Makes the batch's rows part of the tables, all at once; fails if another writer has taken its number. A base takes the place of all batches before it."""
+        out = self.store.fs().create(self.store.path(f"_commits/{self.number:012d}"), False)
+        out.writeUTF("\n".join([self.token, "base" if base else "", *self.names]))
+        out.close()
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        at = (self._versions(name) or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{at}")
+
+class Store:
+    """Named tables under a folder, which grow by batches of Parquet files.
+
+    A batch is written to folders of its own and then committed by one small file, which is created once. So a batch that fails is
+    never seen and can be tried again, batches of several tables appear together, and of two writers one fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.schemas = spark, folder.rstrip("/"), {}
+        self._known: dict[int, list[str]] = {}
+
+    def path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def fs(self):
+        return self.path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def place(self, name: str, number: int, token: str) -> str:
+        return f"{self.folder}/{name}/{number:012d}-{token}"
+
+    def create(self, name: str, schema: str) -> None:
+        """Declares a table; it is empty until a batch with rows of it is committed."""
+        self.schemas[name] = self.spark.createDataFrame([], schema).schema
+
+    def commits(self) -> dict[int, list[str]]:
+        """Committed batches by number: token, whether it is a base, and the tables in it."""
+        fs, top = self.fs(), self.path("_commits")
+        listed = {int(x.getPath().getName()): x for x in fs.listStatus(top)} if fs.exists(top) else {}
+        self._known = {n: c for n, c in self._known.items() if n in listed}
+        for number, file in listed.items():
+            # An empty file is one that is being written.
+            if number not in self._known and file.getLen() > 0:
+                at = fs.open(file.getPath())
+                self._known[number] = at.readUTF().split("\n")
+                at.close()
+        base = max((n for n, c in self._known.items() if c[1] == "base"), default=0)
+        return {n: c for n, c in sorted(self._known.items()) if n >= base}
+
+    def begin(self) -> Batch:
+        return Batch(self, max(self.commits(), default=0) + 1)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{self._versions(name)[-1]}")
+        paths = [self.place(name, n, c[0]) for n, c in self.commits().items() if name in c[2:]]
+        return self.spark.read.schema(self.schemas[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.schemas[name])
+
+    def compact(self) -> None:
+        """Writes all tables anew as one batch and deletes the batches before."""
+        before = self.commits()
+        batch = self.begin()
+        for name in self.schemas:
+            batch.write(name, self.read(name))
+        batch.commit(base=True)
+        for number, (token, _, *names) in before.items():
+            for name in names:
+                self.fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.place(name, number, token)), True)
+            self.fs().delete(self.path(f"_commits/{number:012d}"), False)
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
-
-    def create(self, name: str, empty: DataFrame) -> None:
-        """Creates a table once; another call changes nothing."""
-        if not self.exists(name):
-            self.write(name, empty)
+        return any(name in c[2:] for c in self.commits().values())
 
     def wipe(self, confirm: bool = False) -> None:
         """Deletes all tables; asks to be confirmed."""
         if not confirm:
             raise ValueError("wipe must be confirmed")
-        top = self._path(self.folder)
-        top.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(top, True)
+        self.fs().delete(self.path(""), True)
+        self._known = {}

@@ -49,13 +49,30 @@ def test_questions(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     store = files.Store(spark, str(tmp_path / "store"))
-    store.create("t", spark.range(0))
-    store.create("t", spark.range(9))
+    store.create("t", "id long")
+    store.create("u", "id long, name string")
+    assert store.read("t").count() == 0 and not store.exists("t")
+    batch = store.begin()
+    batch.write("t", spark.range(3))
+    batch.write("u", spark.range(1).selectExpr("'x' AS name", "id"))
     assert store.read("t").count() == 0
-    store.write("t", store.read("t").union(spark.range(3)))
-    assert store.read("t").count() == 3
+    batch.commit()
+    assert store.read("t").count() == 3 and store.read("u").first().name == "x"
+    # Two writers of one number: the second one fails, and nothing of it is seen.
+    one, two = store.begin(), store.begin()
+    for b in (one, two):
+        b.write("t", spark.range(10, 12))
+    one.commit()
+    with pytest.raises(Exception, match="exist"):
+        two.commit()
+    assert store.read("t").count() == 5
+    other = files.Store(spark, str(tmp_path / "store"))
+    other.create("t", "id long")
+    other.create("u", "id long, name string")
+    other.compact()
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 10, 11] and store.begin().number == 4
     files.write_json(store.read("t"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    assert spark.read.json(str(tmp_path / "out")).count() == 5
     with pytest.raises(ValueError):
         store.wipe()
     store.wipe(confirm=True)
@@ -66,22 +83,48 @@ SCHEMA = "session_id string, turn_id string, role string, text string, ts timest
 
 
 def test_capture_of_a_stream(spark, tmp_path):
-    rows = [("s", "1", "User", " hello ", datetime(2024, 1, 1)), ("s", "1", "user", "hello", datetime(2024, 1, 1, 0, 1)), ("s", "2", "tool", "x", datetime(2024, 1, 1)), ("s", "3", "user", "explicit", datetime(2024, 1, 1)), ("s", "4", None, "boom", datetime(2024, 1, 1))]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
+    """Turns are taken once, by their text and ids; a turn that fails doesn't hold up the others and comes again until it is taken."""
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
     explicit = spark.createDataFrame([("s", "3")], "session_id string, turn_id string")
-    taken, failed = [], []
+    taken, failed, broken = [], [], [True]
 
     def ingest(batch, number):
         got = [(r.turn_id, r.role, r.text, r.title) for r in batch.collect()]
-        taken.extend(got)
-        if any(x[2] == "boom" for x in got):
+        if broken[0] and any(x[2] == "boom" for x in got):
             raise RuntimeError("boom")
+        taken.extend(got)
 
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    query = T.capture(stream, str(tmp_path / "ckpt"), ingest, lambda b, n, e: failed.append(str(e)), explicit)
-    query.awaitTermination(120)
-    assert sorted(taken) == [("1", "user", "hello", "conversation:s:1:user"), ("4", "unknown", "boom", "conversation:s:4:unknown")]
-    assert failed == ["boom"] and query.exception() is None
+    def run():
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        query = T.capture(stream, str(tmp_path / "ckpt"), ingest, lambda b, n, e: failed.append(str(e)), explicit)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    day = datetime(2024, 1, 1)
+    first = [("1", "user", "hello", "conversation:s:1:user"), ("5", "user", "fine", "conversation:s:5:user")]
+    arrive(("s", "1", "User", " hello ", day), ("s", "1", "user", "hello", datetime(2024, 1, 1, 0, 1)), ("s", "2", "tool", "x", day), ("s", "3", "user", "explicit", day), ("s", "4", None, "boom", day), ("s", "5", "user", "fine", day))
+    run()
+    assert sorted(taken) == first and failed == ["boom"]
+    arrive(("s", "1", "user", "hello", datetime(2024, 1, 5)), ("s", "6", "user", "new", day))
+    run()
+    assert sorted(taken) == [*first, ("6", "user", "new", "conversation:s:6:user")] and failed == ["boom"] * 2
+    broken[0] = False
+    arrive(("s", "4", None, "boom", datetime(2024, 1, 6)))
+    run()
+    assert sorted(taken) == sorted([*first, ("6", "user", "new", "conversation:s:6:user"), ("4", "unknown", "boom", "conversation:s:4:unknown")])
+    assert len(failed) == 2
+
+
+def test_capture_state_gathers_what_was_seen(spark, tmp_path):
+    state = T.CaptureState(spark, str(tmp_path / "state"))
+    for n in range(3):
+        state.write("seen", n, spark.createDataFrame([(f"f{n}",)], "fingerprint string"))
+    like = spark.createDataFrame([], "fingerprint string")
+    assert state.numbers("seen") == [0, 1, 2] and state.read("seen", like).count() == 3
+    state.drop("seen", [0, 1])
+    assert [r.fingerprint for r in state.read("seen", like).collect()] == ["f2"] and state.read("owed", like).count() == 0
 
 
 def test_touches_of_a_stream(spark, tmp_path):
