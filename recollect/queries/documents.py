@@ -26,7 +26,11 @@ c AS (SELECT doc_id, i AS chunk_index, array_to_string(w[i * 80 + 1:i * 80 + 100
 
 
 def recursive_chunks(spark, sf_dir):
-    cut = chunking.chunk_documents(M.table(spark, sf_dir, "documents").select("doc_id", "text"), 200, 25)
+    """Chunks of at most 200 tokens of a public tokenizer."""
+    import public_tokenizers
+
+    length = chunking.TokenLength(public_tokenizers.path("word_bpe_49k.json"))
+    cut = chunking.chunk_documents(M.table(spark, sf_dir, "documents").select("doc_id", "text"), 200, 25, length)
     return cut.select("doc_id", "chunk_index", "position", "chunk_id", F.length("text").alias("n_chars"))
 
 

@@ -152,3 +152,39 @@ def test_metrics(spark):
     assert evals.match_scores(a.limit(0), b, ["k"]).first().f1 == 0
     sessions = spark.createDataFrame([(f"s{i}",) for i in range(9)], "session_id string")
     assert [r.session_id for r in evals.haystack(sessions, spark.createDataFrame([("s7",)], "session_id string"), 3).collect()][0] == "s7"
+
+
+def test_chunks_by_tokens_against_a_plain_splitter(spark, tiny):
+    """The registered query's chunks: within the limit in tokens, cut from the text in order, sharing at most the overlap, and as a splitter that looks at whole pieces makes them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from recollect.queries import documents
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    length = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+    def pieces(text, cuts=("\n\n", "\n", ". ", " ", "")):
+        if length(text) <= 200 or not cuts:
+            return [text]
+        cut, rest = next(((c, cuts[i + 1 :]) for i, c in enumerate(cuts) if c == "" or c in text), ("", ()))
+        parts = list(text) if cut == "" else [p + cut for p in text.split(cut)[:-1]] + text.split(cut)[-1:]
+        return [x for p in parts if p for x in (pieces(p, rest) if length(p) > 200 and cut else [p])]
+
+    def plain(text):
+        out, held = [], []
+        for piece in pieces(text.strip()):
+            if held and sum(map(length, held)) + length(piece) > 200:
+                out.append("".join(held))
+                while held and (sum(map(length, held)) > 25 or sum(map(length, held)) + length(piece) > 200):
+                    held.pop(0)
+            held.append(piece)
+        return out + ["".join(held)] if held else out
+
+    rows = spark.read.parquet(f"{tiny}/documents.parquet").where("length(text) < 6000").limit(25).collect()
+    cut = chunking.chunk_documents(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), 200, 25, chunking.TokenLength(public_tokenizers.path("word_bpe_49k.json"))).collect()
+    for r in rows:
+        mine = [c.text for c in sorted((c for c in cut if c.doc_id == r.doc_id), key=lambda c: c.chunk_index)]
+        assert mine == [c.strip() for c in plain(r.text or "") if c.strip()]
+        assert all(c in r.text and length(c) <= 200 for c in mine)
+    assert documents.recursive_chunks(spark, tiny).columns == ["doc_id", "chunk_index", "position", "chunk_id", "n_chars"]
