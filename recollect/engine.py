@@ -17,7 +17,8 @@ from .functions import vocabulary as V
 from .functions.scoring import Weights
 from .operators import chunking, coerce, facts, graph, provenance, retrieve, status, vectors
 from .plans import adhoc
-from .sources.files import Batch, Store
+from .profiles import PROFILES
+from .sources.files import Batch, Store, numbered_turns, quarantine, text_documents
 
 SEQ = "struct<batch: long, at: long, n: long>"
 SCHEMAS = {
@@ -50,6 +51,11 @@ class Engine:
         for name, schema in SCHEMAS.items():
             self.store.create(name, schema)
 
+    @classmethod
+    def of_profile(cls, spark: SparkSession, folder: str, name: str = "plain") -> Engine:
+        profile = PROFILES.get(name)
+        return cls(spark, folder, profile.extractor(), profile.encoder())
+
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
@@ -217,6 +223,17 @@ class Engine:
         """An ingest of turns that were stored by a call."""
         return self.ingest(docs, now, explicit=True)
 
+    def seed(self, path: str, now: Column, session_id: str, pattern: str = "*.md", confirm: bool = False) -> DataFrame:
+        """Wipes the memory, which must be confirmed, and ingests the text files of a folder as the turns t0, t1, ... of a session, in the order of their paths; files that aren't UTF-8 are refused."""
+        docs = text_documents(self.spark, path, pattern)
+        if not quarantine(docs).isEmpty():
+            raise ValueError("the corpus has files that aren't UTF-8")
+        if docs.isEmpty():
+            raise ValueError("the corpus has no files")
+        self.wipe(confirm)
+        numbered = numbered_turns(docs, session_id)
+        return self.ingest(numbered.withColumns({"role": F.lit(None).cast("string"), "arrival": F.substring("turn_id", 2, 18).cast("long")}), now)
+
     def add_entities(self, rows: DataFrame, now: Column) -> DataFrame:
         """Agents' entities ``(n, name, type, source, confidence, session_id, turn_id)``; gives ``(n, entity_id, canonical_name, resolved_to_existing)``, null ids for those without session or turn, which aren't written."""
         ok = F.coalesce(T.valid_segment(F.col("session_id")) & T.valid_segment(F.col("turn_id")), F.lit(False))

@@ -154,6 +154,23 @@ def test_other_names_become_aliases(spark, tmp_path):
     assert {r.reason for r in engine.table("rejected").collect()} == {"unknown endpoint"}
 
 
+def test_seeding_from_a_folder_with_a_profile(spark, tmp_path):
+    (tmp_path / "corpus").mkdir()
+    for n, text in enumerate(["Ada works at Acme.", "Ada works at Initech.", "Bob uses Spark."]):
+        (tmp_path / "corpus" / f"0{n}-doc.md").write_text(text)
+    engine = Engine.of_profile(spark, str(tmp_path / "memory"))
+    with pytest.raises(ValueError, match="confirmed"):
+        engine.seed(str(tmp_path / "corpus"), at(1), "demo")
+    for _ in range(2):
+        counts = engine.seed(str(tmp_path / "corpus"), at(1), "demo", confirm=True)
+        assert counts.agg(F.sum("relations_created"), F.sum("relations_superseded")).first() == (2, 1)
+    assert live(engine) == {("Ada", "Initech")} and engine.table("turns").count() == 3
+    with pytest.raises(ValueError, match="no files"):
+        engine.seed(str(tmp_path / "corpus"), at(1), "demo", pattern="*.txt", confirm=True)
+    with pytest.raises(ValueError, match="there are plain"):
+        Engine.of_profile(spark, str(tmp_path / "other"), "none")
+
+
 def test_remembered_turns_are_explicit(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "memory"), extract)
     engine.ingest(docs(spark, "Ada works at Acme."), at(1))
