@@ -233,9 +233,13 @@ def most_bits(similarity: float, margin: float = 5) -> int:
 FEW = 64
 
 
-def candidates(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], same: bool, similarity: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of each side, wide fingerprints and numbers of shingles, that may be ``similarity`` alike to some row of the other. ``same``: both sides are one."""
-    (wide_a, n_a), (wide_b, n_b) = left, right
+def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], same: bool, similarity: float, key: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each side that may be ``similarity`` alike to some row of the other. ``same``: both sides are one.
+
+    A side is its rows' wide fingerprints, numbers of shingles and smallest hashes, filled up with the greatest
+    number. All of them have the hash ``key``; two that also share a smaller one meet there and not here.
+    """
+    (wide_a, n_a, keys_a), (wide_b, n_b, keys_b) = left, right
     most = most_bits(similarity)
     has_a, has_b = np.zeros(len(n_a), dtype=bool), np.zeros(len(n_b), dtype=bool)
     for at in range(0, len(n_a), step):
@@ -244,9 +248,15 @@ def candidates(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
         low = np.minimum(n, n_b)
         near = ((bits <= most) | (low < FEW)) & (low / np.maximum(n, n_b) >= similarity)
         if same:
-            near &= np.arange(len(n_b)) != np.arange(at, at + len(n))[:, None]
-        has_a[at : at + step] |= near.any(axis=1)
-        has_b |= near.any(axis=0)
+            near &= np.arange(len(n_b)) > np.arange(at, at + len(n))[:, None]
+        i, j = np.nonzero(near)
+        for first in range(0, len(i), 100_000):
+            x, y = at + i[first : first + 100_000], j[first : first + 100_000]
+            one, other = keys_a[x], keys_b[y]
+            elsewhere = ((one[:, :, None] == other[:, None, :]) & (one[:, :, None] < key)).any(axis=(1, 2))
+            has_a[x[~elsewhere]], has_b[y[~elsewhere]] = True, True
+    if same:
+        has_a = has_b = has_a | has_b
     return has_a, has_b
 
 
@@ -278,27 +288,34 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, width: i
     """Edges ``(a, b)`` between fingerprints whose texts' shingles are ``similarity`` alike or more.
 
     ``nodes(every, fp, t, wide, keys, n)`` are the distinct sets of shingles and ``docs(t, text)`` have a
-    text of each. Nodes that share one of their smallest shingle hashes meet; buckets of more than ``rows``
+    text of each. Nodes that share one of their smallest shingle hashes meet, a pair under the smallest one that it shares; buckets of more than ``rows``
     nodes or ``hashes`` shingles are cut into chunks, and tiles of two chunks compare every pair of them. Numbers of
     shingles and wide fingerprints only tell which nodes may have a link in a tile; these come again with
     the shingles of their texts, which decide. A tile gives a spanning forest of its links.
     """
-    spread = nodes.select("every", "fp", "t", "wide", "n", F.explode("keys").alias("key"))
+    spread = nodes.select("every", "fp", "t", "wide", "n", "keys", F.explode("keys").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("volume")).where("met > 1")
     chunks = F.greatest(F.ceil(F.col("met") / rows), F.ceil(F.col("volume") / hashes)).cast("int")
     sized = spread.join(sizes.select("key", chunks.alias("chunks")), "key").withColumn("c", F.pmod(F.xxhash64("every"), "chunks").cast("int"))
     tile = F.expr("inline(transform(sequence(0, chunks - 1), k -> struct(least(c, k) AS c1, greatest(c, k) AS c2, CAST(k < c AS int) AS side)))")
     place = ["key", "c1", "c2"]
-    met = sized.select("key", tile, "every", "fp", "t", "wide", "n")
+    met = sized.select("key", tile, "every", "fp", "t", "wide", "n", "keys")
 
     def sides_of(key: tuple, frame: pd.DataFrame) -> tuple[bool, list[pd.DataFrame]]:
         same = key[1] == key[2]
         return same, [frame] * 2 if same else [frame[frame["side"] == s] for s in (0, 1)]
 
+    def filled(lists: pd.Series) -> np.ndarray:
+        widest = max((len(x) for x in lists), default=0)
+        found = np.full((len(lists), widest), np.iinfo(np.int64).max)
+        for n, x in enumerate(lists):
+            found[n, : len(x)] = x
+        return found
+
     def near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         same, sides = sides_of(key, frame)
-        told = [(np.frombuffer(b"".join(x["wide"]), dtype=np.uint64).reshape(len(x), -1), x["n"].to_numpy()) for x in sides]
-        found = [x[has] for x, has in zip(sides, candidates(*told, same, similarity), strict=True)]
+        told = [(np.frombuffer(b"".join(x["wide"]), dtype=np.uint64).reshape(len(x), -1), x["n"].to_numpy(), filled(x["keys"])) for x in sides]
+        found = [x[has] for x, has in zip(sides, candidates(*told, same, similarity, key[0]), strict=True)]
         return (found[0] if same else pd.concat(found))[[*place, "side", "every", "fp", "t"]]
 
     may = shared.settled(met.groupBy(*place).applyInPandas(near, "key long, c1 int, c2 int, side int, every long, fp long, t long"))
