@@ -83,9 +83,9 @@ def touched(base: DataFrame, touches: DataFrame, key: str) -> DataFrame:
 
 
 def entities_of_documents(chunks: DataFrame, extracted: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(entity_id, chunk_ids)``: the canonical entities of the chunks' documents, with the distinct chunks of each."""
-    linked = chunks.select("chunk_id", "doc_id").join(extracted, "doc_id").join(entities.where("canonical").select("entity_id"), "entity_id")
-    return linked.groupBy("entity_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
+    """``(entity_id, chunk_id)``: the canonical entities of the chunks' documents, each pair once."""
+    known = extracted.join(entities.where("canonical").select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "doc_id").distinct()
+    return chunks.select("chunk_id", "doc_id").distinct().join(known, "doc_id").select("entity_id", "chunk_id").distinct()
 
 
 def entities_in_session(turns: DataFrame, mentions: DataFrame, session: DataFrame | None = None, since=None) -> DataFrame:

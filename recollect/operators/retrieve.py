@@ -167,8 +167,9 @@ def allow_entities(scope: DataFrame, turns: DataFrame, mentions: DataFrame) -> D
     """``(query_id, entity_id)`` within each query's session and look-back; ``scope(query_id, session_id, since)``, null where not asked."""
     met = turns.join(mentions.select("turn_key", "entity_id"), "turn_key")
     by_session = scope.where("session_id IS NOT NULL").join(met, "session_id").select("query_id", "entity_id").distinct()
-    recent = scope.where("since IS NOT NULL").join(F.broadcast(scope.select("query_id").distinct()), "query_id", "left_semi")
-    by_time = met.join(recent.select("query_id", "since"), F.col("ts") >= F.col("since")).select("query_id", "entity_id").distinct()
+    # Each entity's last mention decides, so a query's range meets an entity once and not each of its mentions.
+    last = met.groupBy("entity_id").agg(F.max("ts").alias("ts"))
+    by_time = last.join(scope.where("since IS NOT NULL").select("query_id", "since").distinct(), F.col("ts") >= F.col("since")).select("query_id", "entity_id").distinct()
     asked_session, asked_time = scope.where("session_id IS NOT NULL").select("query_id"), scope.where("since IS NOT NULL").select("query_id")
     both = by_session.join(by_time, ["query_id", "entity_id"], "left_semi")
     only_session = by_session.join(asked_time, "query_id", "left_anti")

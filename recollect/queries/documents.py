@@ -97,7 +97,7 @@ def entities_from_chunks(spark, sf_dir):
     named = docs.select("doc_id", F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("entity_id")).where("entity_id <> ''")
     entities = named.select("entity_id").distinct().withColumn("canonical", F.lit(True))
     found = provenance.entities_of_documents(chunks, named, entities)
-    return found.select("entity_id", F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_min("chunk_ids").alias("first_chunk"))
+    return found.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 RAW_RELATIONS = ["works at", " Employed by ", "manages", "prefers", "knows", "", "part of", "LEADS", "based in", "Talked About", "depends on", "spouse of", "mentors"]
