@@ -93,9 +93,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file
     ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     mean, most = rows.agg(F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
     vast = 16 * (mean + 1_500)
-    known = rows.join(revisits(rows.select("page_id", "digest", "n"), least_bytes), "page_id", "left")
-    # Rows repeated in id and payload are told apart by their number.
-    known = known.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    met = revisits(rows.select("page_id", "digest", "n"), least_bytes)
     again = F.col("original").isNotNull() & (F.col("n") >= least_bytes)
     own = _urn(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("copy"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
@@ -119,7 +117,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1_000, file
     per_file = max(3, 3 * int(file_bytes / (mean + 1_500)))
     parts = [(F.col("n") <= vast, per_file), (F.col("n") > vast, 3)] if most > vast else [(F.lit(True), per_file)]
     for chosen, records_per_file in parts:
-        lines = known.where(chosen).select(F.explode(records).alias("value"))
+        # Equal payloads are equally long, so what belongs together is in one part, and each page is moved once.
+        known = rows.where(chosen).join(met, "page_id", "left")
+        # Rows repeated in id and payload are told apart by their number.
+        known = known.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+        lines = known.select(F.explode(records).alias("value"))
         lines.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
 
 
