@@ -54,14 +54,32 @@ def fingerprints_of(windows: DataFrame) -> DataFrame:
     return words.select("n", F.when(F.col("n") == WINDOW, least).otherwise(F.xxhash64("words")).alias("print")).distinct()
 
 
-def document_prints(docs: DataFrame, lengths: list[int]) -> DataFrame:
+#: Bits of the map that tells which fingerprints the items may have.
+MAP_BITS = 20
+
+
+def map_of(prints: list[int]) -> Column:
+    """A bit for each value of the prints' lower bits, as an array of longs; few prints are told apart by it from most others."""
+    bits = [0] * (1 << (MAP_BITS - 6))
+    for p in prints:
+        low = p & ((1 << MAP_BITS) - 1)
+        bits[low >> 6] |= 1 << (low & 63)
+    listed = ",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)
+    return F.from_json(F.lit(f"[{listed}]"), "array<bigint>")
+
+
+def document_prints(docs: DataFrame, lengths: list[int], known: Column | None = None) -> DataFrame:
     """``(doc_id, sig, n_words, n, print, start, words)``: a row for each fingerprint, with the words around it, and one with n = 0 for each document, whose print is a hash of its own.
 
     ``lengths`` are those that the items' windows have. For one under ten each of the
-    document's sequences of so many words is a fingerprint.
+    document's sequences of so many words is a fingerprint. With ``known``, a map of the items' prints,
+    only those come that may be among them.
     """
     per = WINDOW - GRAM + 1
     rows = docs.select("doc_id", F.xxhash64("text").alias("sig"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    rows = rows if known is None else rows.withColumn("known", known)
+    low = (1 << MAP_BITS) - 1
+    may = lambda p: f"(get(known, CAST(shiftright({p} & {low}, 6) AS int)) & shiftleft(1L, CAST({p} & 63 AS int))) != 0"
     none = "CAST(array() AS array<struct<n: int, print: bigint, start: int, words: array<string>>>)"
     # No item has such a print, so these rows meet nothing in a join, and no single key takes them all.
     lists = ["array(struct(0 AS n, xxhash64(doc_id, sig) AS print, 0 AS start, CAST(array() AS array<string>) AS words))"]
@@ -69,15 +87,19 @@ def document_prints(docs: DataFrame, lengths: list[int]) -> DataFrame:
         packed = f"transform(sequence(1, size(words) - {GRAM - 1}), i -> shiftleft(shiftrightunsigned(xxhash64(slice(words, i, {GRAM})), {POSITION_BITS}), {POSITION_BITS}) | i)"
         rows = rows.withColumn("grams", F.expr(f"CASE WHEN n_words >= {WINDOW} THEN {packed} END"))
         rows = rows.withColumn("marks", F.expr(f"array_distinct(transform(sequence(1, size(grams) - {per - 1}), s -> array_min(slice(grams, s, {per}))))"))
+        met = may(f"shiftrightunsigned(p, {POSITION_BITS})")
+        marks = "marks" if known is None else f"filter(marks, p -> {met})"
         place = f"CAST(p & {(1 << POSITION_BITS) - 1} AS int)"
         first = f"greatest({place} - {per - 1}, 1)"
         lists.append(
-            f"coalesce(transform(marks, p -> struct({WINDOW} AS n, shiftrightunsigned(p, {POSITION_BITS}) AS print, {first} AS start, "
+            f"coalesce(transform({marks}, p -> struct({WINDOW} AS n, shiftrightunsigned(p, {POSITION_BITS}) AS print, {first} AS start, "
             f"slice(words, {first}, {place} + {WINDOW} - {first}) AS words)), {none})"
         )
     for n in (n for n in lengths if n < WINDOW):
+        hashed = f"xxhash64(slice(words, i, {n}))"
+        starts = f"sequence(1, size(words) - {n - 1})" if known is None else f"filter(sequence(1, size(words) - {n - 1}), i -> {may(hashed)})"
         lists.append(
-            f"CASE WHEN n_words >= {n} THEN transform(sequence(1, size(words) - {n - 1}), i -> struct({n} AS n, xxhash64(slice(words, i, {n})) AS print, i AS start, slice(words, i, {n}) AS words)) "
+            f"CASE WHEN n_words >= {n} THEN transform({starts}, i -> struct({n} AS n, xxhash64(slice(words, i, {n})) AS print, i AS start, slice(words, i, {n}) AS words)) "
             f"ELSE {none} END"
         )
     return rows.select("doc_id", "sig", "n_words", F.expr(f"inline(concat({', '.join(lists)}))"))
@@ -98,7 +120,9 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_0
     small = rows <= broadcast_rows and held <= broadcast_bytes
     side = F.broadcast if small else (lambda df: df.hint("merge"))
     known = prints.withColumn("met", F.lit(True))
-    met = shared.settled(document_prints(docs, lengths).join(side(known), ["n", "print"], "left").where("n = 0 OR met").drop("met"))
+    # Few prints, no more than are broadcast, also tell beforehand which words around a print needn't be taken along.
+    found = document_prints(docs, lengths, map_of([r.print for r in prints.select("print").collect()]) if small else None)
+    met = shared.settled(found.join(side(known), ["n", "print"], "left").where("n = 0 OR met").drop("met"))
     base = met.where("n = 0").select("doc_id", "sig", "n_words")
     starts = F.expr("transform(sequence(1, size(words) - n + 1), i -> struct(start + i - 1 AS start, array_join(slice(words, i, n), ' ') AS window))")
     extended = met.where("n > 0").select("doc_id", "sig", "n", F.explode(starts).alias("w")).select("doc_id", "sig", "n", "w.start", "w.window").distinct()
