@@ -179,14 +179,8 @@ class WordCache:
         self.row.update(zip(missing, range(at, at + len(missing)), strict=True))
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
 def _cache(model: LanguageModel) -> WordCache:
-    if model.key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[model.key] = WordCache(model)
-    return _CACHES[model.key]
+    return shared.held_in_worker(("languages", model.key), lambda: WordCache(model))
 
 
 def identify(texts: list[str | None], cache: WordCache) -> list[tuple[str, float]]:

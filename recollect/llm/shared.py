@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,17 @@ def bound_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 8) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this process until another key is asked for: a worker that serves one operator after another holds one model and cache, not all of them."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 

@@ -223,14 +223,8 @@ class TokenCache:
             self.value.update(zip(part, best.tolist(), strict=True))
 
 
-_CACHES: dict[str, TokenCache] = {}
-
-
 def _cache(model: ToxicityModel) -> TokenCache:
-    if model.key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[model.key] = TokenCache(model)
-    return _CACHES[model.key]
+    return shared.held_in_worker(("toxicity", model.key), lambda: TokenCache(model))
 
 
 def tokens_of(text: str) -> list[str]:
