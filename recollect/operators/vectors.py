@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot, unit
-
 #: Similarities of the first pass may be off by this much.
 SLACK = 1e-9
 
@@ -23,23 +22,40 @@ def unit_matrix(lists: pa.ListArray, size: int) -> np.ndarray:
     rows = np.flatnonzero(lengths == size)
     if size and len(rows):
         whole[rows] = values[(np.cumsum(lengths)[rows] - size)[:, None] + np.arange(size)[None, :]]
-    norm = np.sqrt((whole * whole).sum(axis=1, keepdims=True))
+    norm = np.sqrt(in_order(whole, whole))[:, None]
     return np.where(norm == 0, 0.0, whole / np.where(norm == 0, 1.0, norm))
 
 
-def may_be_nearest(sims: np.ndarray, k: int) -> np.ndarray:
-    """(row, column) of the similarities that may be among the ``k`` greatest of their column; NaN is the least."""
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of both, added up in the order of coordinates."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+def may_be_nearest(sims: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+    """(row, column) of the similarities that may be among the ``k`` greatest of their row and reach its ``least``; NaN is the least of all."""
     known = np.where(np.isnan(sims), -np.inf, sims)
-    least = np.partition(known, len(known) - k, axis=0)[len(known) - k] if len(known) > k else np.full(known.shape[1], -np.inf)
-    return np.argwhere(known >= least[None, :] - SLACK)
+    if sims.shape[1] > k and np.isneginf(least).any():
+        least = np.maximum(least, np.partition(known, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k])
+    return np.argwhere(known >= least[:, None] - SLACK)
+
+
+def first_of_each(found: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each query of ``found(q, sim, id)`` by similarity, NaN last, and then by id, null first."""
+    keys = found.append_column("far", pa.array(-found["sim"].to_numpy())).append_column("bad", pa.compute.is_nan(found["sim"])).append_column("has", pa.compute.is_valid(found["id"]))
+    ordered = found.take(pa.compute.sort_indices(keys, [(c, "ascending") for c in ("q", "bad", "far", "has", "id")]))
+    q = ordered["q"].to_numpy()
+    return ordered.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < k)))
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False) -> DataFrame:
     """``(query_id, <item_id>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
 
     Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix;
-    what may be among the ``k`` nearest goes on, a few rows for each batch and query, and is compared again, by
-    the sum in the order of coordinates. More queries are taken in that many rounds. ``same_type`` also asks for
+    what may be among the ``k`` nearest is compared again, by the sum in the order of coordinates, and ``k`` rows for
+    each task and query go on, without vectors. More queries are taken in that many rounds. ``same_type`` also asks for
     equal types; null types equal none. Items whose vector is null or of another length have a null similarity and come last.
     """
     n = queries.count()
@@ -48,38 +64,59 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
     q = queries.select("query_id", "embedding", *typed)
     # One batch has all types, so a type's matches are found among those of its own.
     i = items.select(item_id, "embedding", *typed)
-    schema = items.select(F.lit(0).alias("__q"), item_id, "embedding").schema
+    schema = items.select(F.lit(0).alias("__q"), item_id, F.lit(None).cast("double").alias("sim")).schema
     found = None
     for r in range(rounds):
         part = (q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).withColumn("__q", F.row_number().over(Window.orderBy("query_id")))
         part = queries.sparkSession.createDataFrame(part.toArrow())
         asked = part.select("__q", "embedding", *typed).toArrow()
-        size = max((len(v) for v in asked["embedding"].to_pylist() if v is not None), default=0)
-        matrix = unit_matrix(asked["embedding"].combine_chunks(), size) if len(asked) else np.zeros((0, 0))
         numbers = asked["__q"].to_numpy()
         kinds = np.array(asked["type"].to_pylist(), dtype=object) if same_type else None
-        known = queries.sparkSession.sparkContext.broadcast((matrix, numbers, kinds))
-
-        def rows(batches: Iterator[pa.RecordBatch], known=known, size=size) -> Iterator[pa.RecordBatch]:
-            matrix, numbers, kinds = known.value
+        lists = asked["embedding"].combine_chunks()
+        lengths = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64), nan=-1).astype(np.int64)
+        # Queries of each length, which are compared with items of that length; those without a vector with none.
+        asks = [(size, unit_matrix(lists.filter(pa.array(lengths == size)), max(size, 0)), np.flatnonzero(lengths == size)) for size in np.unique(lengths).tolist()]
+        known = queries.sparkSession.sparkContext.broadcast((asks, numbers, kinds))
+
+        def rows(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            asks, numbers, kinds = known.value
             step = max(k + 1, 4_000_000 // max(1, len(numbers)))
+            least, held, new = np.full(len(numbers), -np.inf), [], 0
             for whole in batches:
                 for at in range(0, len(whole) if len(numbers) else 0, step):
                     batch = whole.slice(at, step)
-                    units = unit_matrix(batch.column("embedding"), size)
-                    groups = [(np.arange(len(batch)), np.arange(len(numbers)))]
-                    if kinds is not None:
-                        own = np.array(batch.column("type").to_pylist(), dtype=object)
-                        groups = [(np.flatnonzero(own == t), np.flatnonzero(kinds == t)) for t in set(kinds) & set(own) if t is not None]
-                    for items_of, queries_of in groups:
-                        met = may_be_nearest(units[items_of] @ matrix[queries_of].T, k)
-                        some = batch.take(pa.array(items_of[met[:, 0]]))
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers[queries_of[met[:, 1]]], pa.int32()), some.column(item_id), some.column("embedding")], ["__q", item_id, "embedding"])
-
-        near = i.mapInArrow(rows, schema).withColumnRenamed("embedding", "v")
-        pairs = near.join(F.broadcast(part.select("__q", "query_id", "embedding")), "__q")
-        value = dot(unit(F.col("v")), unit(F.col("embedding")))
-        scored = pairs.select("query_id", item_id, F.when(~F.isnan(value), value).alias("sim"))
+                    lists, own = batch.column("embedding"), np.array(batch.column("type").to_pylist(), dtype=object) if same_type else None
+                    lengths = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64), nan=-1).astype(np.int64)
+                    for size, matrix, at_size in asks:
+                        units = unit_matrix(lists, max(size, 0))
+                        units[(lengths != size) | (size < 0)] = np.nan
+                        groups = [(np.arange(len(batch)), np.arange(len(at_size)))]
+                        if same_type:
+                            of = kinds[at_size]
+                            groups = [(np.flatnonzero(own == t), np.flatnonzero(of == t)) for t in set(of) & set(own) if t is not None]
+                        for items_of, queries_of in groups:
+                            some, asking = units[items_of], matrix[queries_of]
+                            sims = asking @ some.T
+                            sims[:, (lengths[items_of] != size) | (size < 0)] = np.nan
+                            met = may_be_nearest(sims, k, least[at_size[queries_of]])
+                            for first in range(0, len(met), 200_000):
+                                a, b = met[first : first + 200_000].T
+                                exact = np.where(np.isnan(sims[a, b]), np.nan, in_order(some[b], asking[a]))
+                                held.append(pa.table({"q": at_size[queries_of[a]], "sim": exact, "id": batch.column(item_id).take(pa.array(items_of[b]))}))
+                                new += len(a)
+                    if new > k * len(numbers) // 2:
+                        best = first_of_each(pa.concat_tables(held), k)
+                        held, new = [best], 0
+                        every, sims = best["q"].to_numpy(), best["sim"].to_numpy()
+                        full = np.flatnonzero(np.arange(len(every)) - np.searchsorted(every, every) == k - 1)
+                        least[every[full]] = np.where(np.isnan(sims[full]), -np.inf, sims[full])
+            if held:
+                best = first_of_each(pa.concat_tables(held), k)
+                sims = best["sim"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[best["q"].to_numpy()], pa.int32()), best["id"].combine_chunks(), pa.array(sims, mask=np.isnan(sims))], ["__q", item_id, "sim"])
+
+        near = i.mapInArrow(rows, schema)
+        scored = near.join(F.broadcast(part.select("__q", "query_id")), "__q").select("query_id", item_id, "sim")
         order = Window.partitionBy("query_id").orderBy(F.desc("sim"), item_id)
         ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)

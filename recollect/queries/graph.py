@@ -196,9 +196,10 @@ def eval_by_hops(spark, sf_dir):
 def chunk_baseline(spark, sf_dir):
     """Search of chunks alone, ten for each query: the share of them with the query's label, and the first one's rank."""
     memory, asked = M.vector_memory(spark, sf_dir), M.vector_queries(spark, sf_dir)
-    found = vectors.top_k(asked, memory.chunks, 10, "chunk_id").select(F.col("query_id").alias("question_id"), "rank", F.col("chunk_id").alias("item"))
+    found = graph.held(vectors.top_k(asked, memory.chunks, 10, "chunk_id").select(F.col("query_id").alias("question_id"), "rank", F.col("chunk_id").alias("item")))
     labels = M.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("K"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("item"), F.col("label").cast("string").alias("type"))
-    relevant = asked.select(F.col("query_id").alias("question_id"), "type").join(labels, "type").select("question_id", "item")
+    # Of the items of a query's label those that it found.
+    relevant = labels.join(F.broadcast(found), "item").join(asked.select(F.col("query_id").alias("question_id"), "type"), ["question_id", "type"]).select("question_id", "item")
     first = found.join(relevant, ["question_id", "item"], "left_semi").groupBy("question_id").agg(F.min("rank").alias("first_rank"))
     return evals.precision_at(found, relevant, 10).join(first, "question_id", "left")
 
