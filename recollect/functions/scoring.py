@@ -52,12 +52,12 @@ def reinforcement(count: Column, last: Column, now: Column, weights: Weights = W
     return F.when(count.isNull() | (count <= 0) | last.isNull(), 0.0).otherwise(value)
 
 
-def _clamped(x: Column) -> Column:
+def clamped(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
 def score(similarity: Column, distance: Column, confidence: Column, boost: Column, weights: Weights = Weights()) -> Column:
     """Additive relevance, times a bounded boost."""
     near = F.lit(weights.beta) / (1 + F.greatest(distance, F.lit(0)))
-    relevance = F.lit(weights.alpha) * _clamped(similarity) + near + F.lit(weights.delta) * _clamped(confidence)
+    relevance = F.lit(weights.alpha) * clamped(similarity) + near + F.lit(weights.delta) * clamped(confidence)
     return relevance * (1 + F.lit(weights.gamma) * boost)

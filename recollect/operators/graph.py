@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None) -> DataFrame:
+def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None, worth: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(<group>, seed, target, distance[, path])``: one shortest path from each seed to each node it reaches, the seed itself left out.
 
     ``seeds(<group>, seed)`` may be grouped by a query. ``carry`` is a struct of an edge's
@@ -25,6 +27,9 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
     sequence of edge ids is kept, which the struct must begin with. Each hop joins the last
     frontier with the edges, keeps a row for each seed and node, and leaves out what earlier
     hops reached.
+
+    ``worth(frontier, steps)`` may name the pairs ``(<group>, seed, node)`` of ``frontier`` joined with ``steps(src, dst, step)``
+    that matter; of those that only the last hop reaches, no others are returned.
     """
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be from 1 to {MOST_HOPS}")
@@ -38,7 +43,14 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
         frontier = frontier.withColumn("path", F.from_json(F.lit("[]"), f"array<{kind}>"))
     seen, found = frontier.select(*by, "node"), None
     for h in range(1, hops + 1):
-        reached = frontier.join(both, frontier["node"] == both["src"]).drop("node", "src").withColumnRenamed("dst", "node")
+        ahead, steps, pairs = frontier, both, None
+        if worth is not None and h == hops:
+            pairs = held(worth(frontier, both))
+            ahead = frontier.join(pairs.select(*by).distinct(), by, "left_semi")
+            steps = both.join(pairs.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+        reached = ahead.join(steps, ahead["node"] == steps["src"]).drop("node", "src").withColumnRenamed("dst", "node")
+        if pairs is not None:
+            reached = reached.join(pairs, [*by, "node"], "left_semi")
         if carry is not None:
             reached = reached.withColumn("path", F.array_append("path", F.col("step"))).drop("step").groupBy(*by, "node").agg(F.min("path").alias("path"))
         else:

@@ -1,7 +1,7 @@
 """Hybrid retrieval: vector seeds, propagation, bounded expansion, scoring and scoping for a batch of queries.
 
-All stages are one lazy plan over a DataFrame of queries. Scoping by session or time comes
-after the search, as a semi-join over its result, so it never changes which seeds are found.
+Queries meet documents and not each of their entities: what an entity leads to is found once for all queries, and
+bounds tell which of it can be among any query's best. Scoping by session or time never changes which seeds are found.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import Weights, reinforcement, score
+from ..functions.scoring import Weights, clamped, reinforcement, score
 from ..functions.text import edge_label, entity_header
 from . import graph, vectors
 from .facts import QUALIFIERS
@@ -41,10 +41,14 @@ def hydrate(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -> Data
     return seeds.join(dead, "entity_id", "left_anti").join(entities.where("canonical").select("entity_id"), "entity_id", "left_semi")
 
 
+def documents_of(chunk_hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, sim)``: documents with the best similarity among their hit chunks; a few for each query."""
+    return chunks.select("chunk_id", "doc_id").join(F.broadcast(chunk_hits), "chunk_id").groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
+
+
 def propagate(chunk_hits: DataFrame, chunks: DataFrame, extracted: DataFrame) -> DataFrame:
-    """``(query_id, entity_id, sim)``: entities inherit the best similarity among the hit chunks of their documents."""
-    docs = chunk_hits.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
-    return docs.join(extracted, "doc_id").groupBy("query_id", "entity_id").agg(F.max("sim").alias("sim"))
+    """``(query_id, entity_id, sim)``: entities inherit the similarity of each of their documents, and come once for each."""
+    return extracted.join(F.broadcast(documents_of(chunk_hits, chunks)), "doc_id").select("query_id", "entity_id", "sim")
 
 
 def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame, DataFrame]:
@@ -56,6 +60,14 @@ def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame
     return both.groupBy("query_id", "entity_id").agg(F.max("sim").alias("sim")), hits
 
 
+def chunks_of(memory: Memory, queries: DataFrame, chunk_limit: int = 3, seed_k: int = 5, allowed_chunks: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """The chunks ``(query_id, chunk_id, sim, rank)`` of a search, ``hits`` if they are known already."""
+    hits = vectors.top_k(queries, memory.chunks, seed_k, "chunk_id") if hits is None else hits
+    if allowed_chunks is not None:
+        hits = hits.join(allowed_chunks, ["query_id", "chunk_id"], "left_semi")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= chunk_limit)
+
+
 def search(
     memory: Memory,
     queries: DataFrame,
@@ -75,36 +87,83 @@ def search(
     entity_id, sim, distance, edge_confidence, boost, score, path, rank``; ties are broken by
     distance and id. Chunks come with ``query_id, chunk_id, sim, rank``.
     """
-    seeds, hits = seeds_of(memory, queries, seed_k)
-    # A few rows for each query, which the traversal and the scoring both start from.
-    alive = graph.held(hydrate(seeds, memory.entities, memory.relations))
+    direct = graph.held(vectors.top_k(queries, memory.entities, seed_k, "entity_id").select("query_id", "entity_id", "sim"))
+    hits = graph.held(vectors.top_k(queries, memory.chunks, seed_k, "chunk_id"))
+    docs = graph.held(documents_of(hits, memory.chunks))
     live = memory.relations.where("valid_until IS NULL")
     qualifiers = [(F.col(c) if c in live.columns else F.lit(None)).cast("string").alias(c) for c in QUALIFIERS]
     step = F.struct(F.col("edge_id").cast("string").alias("edge_id"), "type", "subtype", "confidence", "access_count", F.col("last_accessed").cast("string").alias("last_accessed"), *qualifiers)
-    paths = graph.shortest_paths(alive.select("query_id", F.col("entity_id").alias("seed")), live, hops, step, ["query_id"])
-    spread = paths.join(alive.select("query_id", F.col("entity_id").alias("seed"), "sim"), ["query_id", "seed"]).select(
-        "query_id", F.col("target").alias("entity_id"), "sim", "distance", "path"
-    )
+    boost_of = lambda x: reinforcement(x["access_count"], x["last_accessed"].cast("timestamp"), now, weights)
+    state = memory.entities.where("canonical").select("entity_id", reinforcement(F.col("access_count"), F.col("last_accessed"), now, weights).alias("own"))
+
+    # Seeds, once for all queries: the entities of documents, and those that queries meet themselves.
+    met = memory.extracted.join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
+    ids = met.select("entity_id").unionByName(direct.select("entity_id")).distinct()
+    alive = graph.held(hydrate(ids, memory.entities, memory.relations).join(state, "entity_id"))
+    members = graph.held(met.join(alive, "entity_id"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", score(F.col("sim"), F.col("distance"), F.col("edge_confidence"), F.col("boost"), weights))
+
+    # Seeds as results. Those of one document are alike to a query, so its first ones by boost and id are enough, unless a scope chooses others for each query.
+    firsts = members
+    if allowed_entities is not None and "query_id" not in allowed_entities.columns:
+        firsts = firsts.join(allowed_entities, "entity_id", "left_semi")
+    if allowed_entities is None or "query_id" not in allowed_entities.columns:
+        firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own"), "entity_id"))).where(F.col("n") <= limit)
+    started = docs.join(firsts.select("doc_id", "entity_id", "own"), "doc_id").select("query_id", "entity_id", "sim", "own").unionByName(direct.join(alive, "entity_id").select("query_id", "entity_id", "sim", "own"))
+    if allowed_entities is not None:
+        started = started.join(allowed_entities, [c for c in ("query_id", "entity_id") if c in allowed_entities.columns], "left_semi")
+    start = graph.held(scored(started.select("query_id", "entity_id", "sim", F.lit(0).alias("distance"), F.lit(0.0).alias("edge_confidence"), F.least("own", F.lit(weights.cap)).alias("boost"))))
+
+    # What a query's result must reach: the score of its last seed, if it has enough of them. A path from a seed has the score s * B + A * B for a similarity s and a factor B
+    # from 1 to ``most``. The greatest s * B - least of a seed's queries is convex in B, so a line through its ends bounds it.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    least = start.groupBy("query_id", "entity_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") == limit).select("query_id", F.col("score").alias("least"))
+    least = graph.held(queries.select("query_id").distinct().join(least, "query_id", "left").select("query_id", F.coalesce("least", F.lit(float("-inf"))).alias("least")))
+    most = 1 + weights.gamma * weights.cap
+    near = F.lit(weights.alpha) * clamped(F.col("sim"))
+    ends = [F.max(near - F.col("least")).alias("low"), F.max(near * most - F.col("least")).alias("high")]
+    of_docs = docs.join(F.broadcast(least), "query_id").groupBy("doc_id").agg(*ends)
+    of_direct = direct.join(F.broadcast(least), "query_id").groupBy("entity_id").agg(*ends)
+    both = members.join(of_docs, "doc_id").select("entity_id", "low", "high").unionByName(of_direct.join(alive.select("entity_id"), "entity_id", "left_semi"))
+    seeds = graph.held(both.groupBy(F.col("entity_id").alias("seed")).agg(F.max("low").alias("low"), F.max("high").alias("high")))
+
+    def reaches(distance, confidence: Column, boost: Column) -> Column:
+        factor = 1 + F.lit(weights.gamma) * boost
+        bound = F.col("low") + (F.col("high") - F.col("low")) * (factor - 1) / (most - 1) if most > 1 else F.greatest("low", "high")
+        return F.isnan(bound) | ((F.lit(weights.beta) / (1 + distance) + F.lit(weights.delta) * clamped(confidence)) * factor + bound >= -1e-9)
+
+    def total(path: Column) -> Column:
+        return F.aggregate(path, F.lit(0.0), lambda s, x: s + x["confidence"])
+
+    def edge_boost(path: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(path, boost_of)), F.lit(0.0))
+
+    def worth(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+        ahead = frontier.join(seeds, "seed").select("seed", F.col("node").alias("src"), total(F.col("path")).alias("c"), edge_boost(F.col("path")).alias("b"), "low", "high")
+        on = steps.select("src", F.col("dst").alias("entity_id"), F.col("step.confidence").alias("c2"), boost_of(F.col("step")).alias("b2")).join(state, "entity_id")
+        boost = F.least(F.greatest("b", "b2", "own"), F.lit(weights.cap))
+        return ahead.join(on, "src").where(reaches(hops, (F.col("c") + F.col("c2")) / hops, boost)).select("seed", F.col("entity_id").alias("node")).distinct()
+
+    bounded = weights.gamma >= 0 and weights.cap >= 0
+    paths = graph.shortest_paths(seeds.select("seed"), live, hops, step, worth=worth if bounded else None)
+    path = F.col("path")
+    reached = paths.withColumnRenamed("target", "entity_id").join(state, "entity_id").join(seeds, "seed")
+    reached = reached.select("seed", "entity_id", "distance", "path", (total(path) / F.col("distance")).alias("edge_confidence"), F.least(F.greatest(edge_boost(path), F.col("own")), F.lit(weights.cap)).alias("boost"), "low", "high")
+    reached = graph.held((reached.where(reaches(F.col("distance"), F.col("edge_confidence"), F.col("boost"))) if bounded else reached).drop("low", "high"))
+    by_doc = docs.join(members.select("doc_id", F.col("entity_id").alias("seed")).join(reached, "seed"), "doc_id").drop("doc_id", "seed")
+    by_self = direct.withColumnRenamed("entity_id", "seed").join(reached, "seed").drop("seed")
+    spread = scored(by_doc.unionByName(by_self)).join(F.broadcast(least), "query_id").where(F.col("score") >= F.col("least") - 1e-9).drop("least")
     none = F.from_json(F.lit("[]"), paths.schema["path"].dataType)
-    start = alive.select("query_id", "entity_id", "sim", F.lit(0).alias("distance"), none.alias("path"))
-    state = memory.entities.where("canonical").select("entity_id", "access_count", "last_accessed")
-    found = start.unionByName(spread).join(state, "entity_id")
-    n = F.size("path")
-    mean = F.when(n > 0, F.aggregate("path", F.lit(0.0), lambda s, x: s + x["confidence"]) / n).otherwise(0.0)
-    edge_boost = F.coalesce(F.array_max(F.transform("path", lambda x: reinforcement(x["access_count"], x["last_accessed"].cast("timestamp"), now, weights))), F.lit(0.0))
-    boost = F.least(F.greatest(edge_boost, reinforcement(F.col("access_count"), F.col("last_accessed"), now, weights)), F.lit(weights.cap))
-    scored = found.withColumns({"edge_confidence": mean, "boost": boost}).withColumn("score", score(F.col("sim"), F.col("distance"), F.col("edge_confidence"), F.col("boost"), weights))
-    best = scored.groupBy("query_id", "entity_id").agg(
+    best = start.withColumn("path", none).unionByName(spread).groupBy("query_id", "entity_id").agg(
         F.max_by(F.struct("sim", "distance", "edge_confidence", "boost", "score", "path"), F.struct("score", -F.col("distance"), "sim")).alias("b")
     ).select("query_id", "entity_id", "b.*")
     if allowed_entities is not None:
         best = best.join(allowed_entities, [c for c in ("query_id", "entity_id") if c in allowed_entities.columns], "left_semi")
-    if allowed_chunks is not None:
-        hits = hits.join(allowed_chunks, ["query_id", "chunk_id"], "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "entity_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    cut = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= chunk_limit)
-    return ranked, cut
+    return ranked, chunks_of(memory, queries, chunk_limit, seed_k, allowed_chunks, hits)
 
 
 def labels_of(path: Column) -> Column:
@@ -132,13 +191,22 @@ def touches_of(entities: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def vector_only(memory: Memory, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``(query_id, entity_id, sim, rank)``: direct hits, then entities of hit chunks' documents with a similarity of 0."""
-    direct = vectors.top_k(queries, memory.entities, k, "entity_id").select("query_id", "entity_id", "sim")
+def vector_only(memory: Memory, queries: DataFrame, k: int = 5, limit: int | None = None) -> DataFrame:
+    """``(query_id, entity_id, sim, rank)``: direct hits, then entities of hit chunks' documents with a similarity of 0; with ``limit`` the first ones of each query.
+
+    A document's entities count the same to a query, so its first ``limit + k`` by id are enough for ``limit`` besides the direct hits.
+    """
+    direct = graph.held(vectors.top_k(queries, memory.entities, k, "entity_id").select("query_id", "entity_id", "sim"))
     hits = vectors.top_k(queries, memory.chunks, k, "chunk_id")
-    through = propagate(hits, memory.chunks, memory.extracted).select("query_id", "entity_id", F.lit(0.0).alias("sim"))
-    both = direct.unionByName(through.join(direct, ["query_id", "entity_id"], "left_anti"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "entity_id")))
+    extracted = memory.extracted
+    if limit is not None:
+        by_id = Window.partitionBy("doc_id").orderBy("entity_id")
+        extracted = extracted.select("doc_id", "entity_id").distinct().withColumn("__n", F.row_number().over(by_id)).where(F.col("__n") <= limit + k).drop("__n")
+    # Dealt by query first, which also serves the ranking.
+    through = propagate(hits, memory.chunks, extracted).select("query_id", "entity_id").repartition("query_id").distinct().withColumn("sim", F.lit(0.0))
+    both = direct.repartition("query_id").unionByName(through.join(F.broadcast(direct), ["query_id", "entity_id"], "left_anti"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "entity_id")))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def graph_only(questions: DataFrame, entities: DataFrame, relations: DataFrame, hops: int = 3, k: int = 5, most_words: int = 5_000) -> DataFrame:
@@ -177,4 +245,4 @@ def allow_entities(scope: DataFrame, turns: DataFrame, mentions: DataFrame) -> D
     return both.unionByName(only_session).unionByName(only_time)
 
 
-__all__ = ["Memory", "allow_entities", "as_documents", "graph_only", "hydrate", "labels_of", "propagate", "search", "seeds_of", "touches_of", "vector_only"]
+__all__ = ["Memory", "allow_entities", "as_documents", "chunks_of", "documents_of", "graph_only", "hydrate", "labels_of", "propagate", "search", "seeds_of", "touches_of", "vector_only"]
