@@ -62,7 +62,7 @@ def hybrid_retrieve(spark, sf_dir):
 
 
 def retrieved_chunks(spark, sf_dir):
-    _, chunks = retrieve.search(M.vector_memory(spark, sf_dir), M.vector_queries(spark, sf_dir), F.expr(M.NOW), chunk_limit=3)
+    chunks = retrieve.chunks_of(M.vector_memory(spark, sf_dir), M.vector_queries(spark, sf_dir), chunk_limit=3)
     return chunks.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"), "rank")
 
 
