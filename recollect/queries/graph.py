@@ -173,7 +173,7 @@ def transcripts(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    found = vector_only_retrieve(spark, sf_dir).where("rank <= 10")
+    found = retrieve.vector_only(M.vector_memory(spark, sf_dir), M.vector_queries(spark, sf_dir), limit=10)
     return found.select(F.col("query_id").alias("question_id"), "rank", F.col("entity_id").alias("name"))
 
 
@@ -213,10 +213,11 @@ def eval_prf1(spark, sf_dir):
 
 
 def eval_precision_at(spark, sf_dir):
-    results = _results(spark, sf_dir).withColumnRenamed("name", "item")
+    results = graph.held(_results(spark, sf_dir).withColumnRenamed("name", "item"))
     q = M.vector_queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("type").alias("label"))
     items = M.vector_memory(spark, sf_dir).entities.select(F.col("entity_id").alias("item"), F.col("type").alias("label"))
-    return evals.precision_at(results, q.join(items, "label").select("question_id", "item"), 5)
+    relevant = items.join(F.broadcast(results), "item").join(q, ["question_id", "label"]).select("question_id", "item")
+    return evals.precision_at(results, relevant, 5)
 
 
 def status_summary(spark, sf_dir):
