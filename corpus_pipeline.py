@@ -2,7 +2,7 @@
 
 Documents that a stage rejects go; the last stage lays out what is left in training sequences.
 A stage takes (session, documents, folder of the tables) and returns a DataFrame, which
-``run`` writes as Parquet in the shared folder and reads again.
+``run`` writes as Parquet in the shared folder and reads again. Each begins by giving back the driver's memory that those before it left.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows with a score of a half at least; null texts and those without letters go."""
+    shared.give_back(spark)
     docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.where(~shared.is_held_out(F.col("doc_id"))))
     found = language_id.identify_languages(docs, model)
@@ -25,6 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score under 0.3."""
+    shared.give_back(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(toxicity.labelled(docs, shared.table(spark, sf_dir, "labels")))
     return toxicity.score_toxicity(docs, model).where("tox_score < 0.3").select(*COLUMNS)
@@ -32,6 +34,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates, once; of different texts of that id the first by hash. Documents without an id stay."""
+    shared.give_back(spark)
     docs = docs.select(*COLUMNS)
     found = simhash.similar_documents(docs).where("doc_id IS NOT NULL")
     kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("first.*")
@@ -42,6 +45,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that share no window with the benchmark."""
+    shared.give_back(spark)
     docs = docs.select(*COLUMNS)
     found = decontaminate.contamination(docs, shared.table(spark, sf_dir, "benchmark"))
     bad = shared.settled(found.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("sig").alias("bad_sig")).distinct())
@@ -52,6 +56,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4,096 tokens; of rows with equal texts one comes in a sequence. Null and empty texts have no piece."""
+    shared.give_back(spark)
     return packing.pack_documents(packing.measured(docs.select(*COLUMNS)).drop("text"), "n_tokens")
 
 

@@ -98,8 +98,8 @@ def word_values(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[str]) -> np.ndarray:
-    """Explicit normalised features; for landmarks only."""
-    found = np.zeros((len(words), ALPHABET**3), dtype=np.float32)
+    """Explicit normalised features; for landmarks only. Columns are contiguous, so that ``kernel`` reads them without a copy."""
+    found = np.zeros((len(words), ALPHABET**3), dtype=np.float32, order="F")
     square = np.zeros(len(words))
     for owner, sequence, weight in occurrences(words):
         np.add.at(found, (owner, sequence), weight)
@@ -108,7 +108,7 @@ def features(words: list[str]) -> np.ndarray:
     return found
 
 
-def kernel(words: list[str], landmarks: np.ndarray, map_to: np.ndarray | None = None, step: int = 1_000) -> np.ndarray:
+def kernel(words: list[str], landmarks: np.ndarray, map_to: np.ndarray | None = None, step: int = 250) -> np.ndarray:
     """Kernel values of words (rows) and landmarks (columns), or their products with ``map_to`` in single precision, some words at a time."""
     by_sequence = np.ascontiguousarray(landmarks.T, dtype=np.float32)
     columns, kind = (by_sequence.shape[1], np.float64) if map_to is None else (map_to.shape[1], np.float32)
@@ -125,7 +125,7 @@ def kernel(words: list[str], landmarks: np.ndarray, map_to: np.ndarray | None =
     return found
 
 
-def squared_hinge(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, cost: float, rounds: int = 25, step: int = 8_192) -> tuple[np.ndarray, float]:
+def squared_hinge(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, cost: float, rounds: int = 25, step: int = 1_024) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; a row has a weight as a positive and one as a negative."""
     ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-3
