@@ -10,8 +10,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Similarities of the first pass may be off by this much.
-SLACK = 1e-9
+#: From so many queries on, comparing a vector costs more than moving it.
+MANY = 256
 
 
 def unit_matrix(lists: pa.ListArray, size: int) -> np.ndarray:
@@ -34,12 +34,19 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def may_be_nearest(sims: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
-    """(row, column) of the similarities that may be among the ``k`` greatest of their row and reach its ``least``; NaN is the least of all."""
-    known = np.where(np.isnan(sims), -np.inf, sims)
-    if sims.shape[1] > k and np.isneginf(least).any():
-        least = np.maximum(least, np.partition(known, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k])
-    return np.argwhere(known >= least[:, None] - SLACK)
+def slack(size: int) -> float:
+    """What two similarities of ``size`` coordinates in single precision may be off by together, and their bound by its rounding."""
+    return 2 * (size + 8) * 2.0**-24
+
+
+def may_be_nearest(sims: np.ndarray, k: int, least: np.ndarray, off: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the similarities, known but for ``off``, that may be among the ``k`` greatest of their row and reach its ``least``; NaN is the least of all."""
+    known = sims
+    if np.isneginf(least).any():
+        known = np.where(np.isnan(sims), np.float32(-np.inf), sims)
+        if sims.shape[1] > k:
+            least = np.maximum(least, np.partition(known, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k])
+    return np.divmod(np.flatnonzero(known >= (least - off).astype(np.float32)[:, None]), max(1, sims.shape[1]))
 
 
 def first_of_each(found: pa.Table, k: int) -> pa.Table:
@@ -53,9 +60,10 @@ def first_of_each(found: pa.Table, k: int) -> pa.Table:
 def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False) -> DataFrame:
     """``(query_id, <item_id>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
 
-    Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix;
-    what may be among the ``k`` nearest is compared again, by the sum in the order of coordinates, and ``k`` rows for
-    each task and query go on, without vectors. More queries are taken in that many rounds. ``same_type`` also asks for
+    Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix in single precision;
+    what may be among the ``k`` nearest is compared again in doubles, by the sum in the order of coordinates, and ``k`` rows for
+    each task and query go on, without vectors. More queries are taken in that many rounds. For ``MANY`` queries items are dealt
+    out first, once for all rounds, so that a table that one task reads is compared by all. ``same_type`` also asks for
     equal types; null types equal none. Items whose vector is null or of another length have a null similarity and come last.
     """
     n = queries.count()
@@ -64,12 +72,13 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
     q = queries.select("query_id", "embedding", *typed)
     # One batch has all types, so a type's matches are found among those of its own.
     i = items.select(item_id, "embedding", *typed)
+    i = i.repartition(item_id) if n >= MANY else i
     schema = items.select(F.lit(0).alias("__q"), item_id, F.lit(None).cast("double").alias("sim")).schema
     found = None
     for r in range(rounds):
         part = (q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).withColumn("__q", F.row_number().over(Window.orderBy("query_id")))
-        part = queries.sparkSession.createDataFrame(part.toArrow())
-        asked = part.select("__q", "embedding", *typed).toArrow()
+        asked = part.toArrow()
+        part = queries.sparkSession.createDataFrame(asked.select(["__q", "query_id"]))
         numbers = asked["__q"].to_numpy()
         kinds = np.array(asked["type"].to_pylist(), dtype=object) if same_type else None
         lists = asked["embedding"].combine_chunks()
@@ -96,11 +105,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
                             groups = [(np.flatnonzero(own == t), np.flatnonzero(of == t)) for t in set(of) & set(own) if t is not None]
                         for items_of, queries_of in groups:
                             some, asking = units[items_of], matrix[queries_of]
-                            sims = asking @ some.T
+                            sims = asking.astype(np.float32) @ some.T.astype(np.float32)
                             sims[:, (lengths[items_of] != size) | (size < 0)] = np.nan
-                            met = may_be_nearest(sims, k, least[at_size[queries_of]])
-                            for first in range(0, len(met), 200_000):
-                                a, b = met[first : first + 200_000].T
+                            row, column = may_be_nearest(sims, k, least[at_size[queries_of]], slack(size))
+                            for first in range(0, len(row), 200_000):
+                                a, b = row[first : first + 200_000], column[first : first + 200_000]
                                 exact = np.where(np.isnan(sims[a, b]), np.nan, in_order(some[b], asking[a]))
                                 held.append(pa.table({"q": at_size[queries_of[a]], "sim": exact, "id": batch.column(item_id).take(pa.array(items_of[b]))}))
                                 new += len(a)
@@ -116,7 +125,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[best["q"].to_numpy()], pa.int32()), best["id"].combine_chunks(), pa.array(sims, mask=np.isnan(sims))], ["__q", item_id, "sim"])
 
         near = i.mapInArrow(rows, schema)
-        scored = near.join(F.broadcast(part.select("__q", "query_id")), "__q").select("query_id", item_id, "sim")
+        scored = near.join(F.broadcast(part), "__q").select("query_id", item_id, "sim")
         order = Window.partitionBy("query_id").orderBy(F.desc("sim"), item_id)
         ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)
