@@ -70,6 +70,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint() if has else df.cache()
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out by ``by`` to as many tasks as a shuffle has, for rows of which each becomes many: one task may have read them all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``(seed, target, distance)`` of all nodes within ``hops``; for callers that need no path."""
     return shortest_paths(seeds, edges, hops).select("seed", "target", "distance")

@@ -48,7 +48,7 @@ def documents_of(chunk_hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def propagate(chunk_hits: DataFrame, chunks: DataFrame, extracted: DataFrame) -> DataFrame:
     """``(query_id, entity_id, sim)``: entities inherit the similarity of each of their documents, and come once for each."""
-    return extracted.join(F.broadcast(documents_of(chunk_hits, chunks)), "doc_id").select("query_id", "entity_id", "sim")
+    return graph.dealt(extracted.select("doc_id", "entity_id"), "entity_id").join(F.broadcast(documents_of(chunk_hits, chunks)), "doc_id").select("query_id", "entity_id", "sim")
 
 
 def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame, DataFrame]:
