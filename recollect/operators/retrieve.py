@@ -55,9 +55,13 @@ def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame
     """Seed similarities ``(query_id, entity_id, sim)`` and chunk hits ``(query_id, chunk_id, sim, rank)``."""
     direct = vectors.top_k(queries, memory.entities, seed_k, "entity_id")
     hits = vectors.top_k(queries, memory.chunks, seed_k, "chunk_id")
-    through = propagate(hits, memory.chunks, memory.extracted)
-    both = direct.select("query_id", "entity_id", "sim").unionByName(through)
-    return both.groupBy("query_id", "entity_id").agg(F.max("sim").alias("sim")), hits
+    # An entity that queries meet themselves is like a document of its own. Rows are dealt by entity before they meet queries, and need not move again.
+    no_doc, no_own = F.lit(None).cast(memory.extracted.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("own")
+    of_doc, of_self = F.struct("doc_id", no_own).alias("at"), F.struct(no_doc, F.col("entity_id").cast("string").alias("own")).alias("at")
+    asked = documents_of(hits, memory.chunks).where("doc_id IS NOT NULL").select("query_id", of_doc, "sim").unionByName(direct.select("query_id", of_self, "sim"))
+    places = memory.extracted.where("doc_id IS NOT NULL").select("entity_id", of_doc).unionByName(memory.entities.select("entity_id", of_self))
+    met = graph.dealt(places, "entity_id").join(F.broadcast(asked), "at")
+    return met.groupBy("query_id", "entity_id").agg(F.max("sim").alias("sim")), hits
 
 
 def chunks_of(memory: Memory, queries: DataFrame, chunk_limit: int = 3, seed_k: int = 5, allowed_chunks: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
