@@ -32,13 +32,16 @@ class Memory:
     relations: DataFrame
 
 
-def hydrate(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Canonical seeds that have no relation at all or a live one at least; ``seeds`` has an ``entity_id``."""
-    ids = seeds.select("entity_id").distinct()
+def dead_of(relations: DataFrame) -> DataFrame:
+    """``(entity_id)``: entities that have relations, but no live one."""
     live = F.col("valid_until").isNull().cast("int").alias("live")
     ends = relations.select(F.col("subject_id").alias("entity_id"), live).unionByName(relations.select(F.col("object_id").alias("entity_id"), live))
-    dead = ends.join(ids, "entity_id", "left_semi").groupBy("entity_id").agg(F.max("live").alias("live")).where("live = 0")
-    return seeds.join(dead, "entity_id", "left_anti").join(entities.where("canonical").select("entity_id"), "entity_id", "left_semi")
+    return ends.groupBy("entity_id").agg(F.max("live").alias("live")).where("live = 0").select("entity_id")
+
+
+def hydrate(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Canonical seeds that have no relation at all or a live one at least; ``seeds`` has an ``entity_id``."""
+    return seeds.join(dead_of(relations), "entity_id", "left_anti").join(entities.where("canonical").select("entity_id"), "entity_id", "left_semi")
 
 
 def documents_of(chunk_hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def search(
     # Seeds, once for all queries: the entities of documents, and those that queries meet themselves.
     met = memory.extracted.join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
     ids = met.select("entity_id").unionByName(direct.select("entity_id")).distinct()
-    alive = graph.held(hydrate(ids, memory.entities, memory.relations).join(state, "entity_id"))
+    alive = graph.held(ids.join(state, "entity_id").join(dead_of(memory.relations), "entity_id", "left_anti"))
     members = graph.held(met.join(alive, "entity_id"))
 
     def scored(rows: DataFrame) -> DataFrame:
