@@ -59,11 +59,12 @@ def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame
     direct = vectors.top_k(queries, memory.entities, seed_k, "entity_id")
     hits = vectors.top_k(queries, memory.chunks, seed_k, "chunk_id")
     # An entity that queries meet themselves is like a document of its own. Rows are dealt by entity before they meet queries, and need not move again.
-    no_doc, no_own = F.lit(None).cast(memory.extracted.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("own")
-    of_doc, of_self = F.struct("doc_id", no_own).alias("at"), F.struct(no_doc, F.col("entity_id").cast("string").alias("own")).alias("at")
-    asked = documents_of(hits, memory.chunks).where("doc_id IS NOT NULL").select("query_id", of_doc, "sim").unionByName(direct.select("query_id", of_self, "sim"))
-    places = memory.extracted.where("doc_id IS NOT NULL").select("entity_id", of_doc).unionByName(memory.entities.select("entity_id", of_self))
-    met = graph.dealt(places, "entity_id").join(F.broadcast(asked), "at")
+    of_doc = ["doc_id", F.lit(None).cast("string").alias("own")]
+    of_self = [F.lit(None).cast(memory.extracted.schema["doc_id"].dataType).alias("doc_id"), F.col("entity_id").cast("string").alias("own")]
+    asked = documents_of(hits, memory.chunks).where("doc_id IS NOT NULL").select("query_id", *of_doc, "sim").unionByName(direct.select("query_id", *of_self, "sim")).alias("a")
+    places = memory.extracted.where("doc_id IS NOT NULL").select("entity_id", *of_doc).unionByName(memory.entities.select("entity_id", *of_self))
+    same = F.col("p.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("p.own").eqNullSafe(F.col("a.own"))
+    met = graph.dealt(places, "entity_id").alias("p").join(F.broadcast(asked), same)
     return met.groupBy("query_id", "entity_id").agg(F.max("sim").alias("sim")), hits
 
 
