@@ -19,7 +19,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None, worth: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None, worth: Callable[[DataFrame, DataFrame], DataFrame] | None = None, goes: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """``(<group>, seed, target, distance[, path])``: one shortest path from each seed to each node it reaches, the seed itself left out.
 
     ``seeds(<group>, seed)`` may be grouped by a query. ``carry`` is a struct of an edge's
@@ -29,13 +29,16 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
     hops reached.
 
     ``worth(frontier, steps)`` may name the pairs ``(<group>, seed, node)`` of ``frontier`` joined with ``steps(src, dst, step)``
-    that matter; of those that only the last hop reaches, no others are returned.
+    that matter; of those that only the last of several hops reaches, no others are returned. ``goes(h)`` may name the seeds ``(<group>, seed)``
+    of which something at a distance of ``h`` or more matters; others go no further.
     """
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be from 1 to {MOST_HOPS}")
     by = [*(group or []), "seed"]
     both = undirected(edges)
-    both = both.select("src", "dst", *([carry.alias("step")] if carry is not None else [])).distinct()
+    both = both.select("src", "dst", *([carry.alias("step")] if carry is not None else []))
+    # Where few frontiers matter, edges meet them first; repeated ones fall together with the paths.
+    both = both.distinct() if worth is None else both
     start = seeds.select(*by).distinct()
     frontier = start.withColumn("node", F.col("seed"))
     if carry is not None:
@@ -43,10 +46,10 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
         frontier = frontier.withColumn("path", F.from_json(F.lit("[]"), f"array<{kind}>"))
     seen, found = frontier.select(*by, "node"), None
     for h in range(1, hops + 1):
-        ahead, steps, pairs = frontier, both, None
-        if worth is not None and h == hops:
-            pairs = held(worth(frontier, both))
-            ahead = frontier.join(pairs.select(*by).distinct(), by, "left_semi")
+        ahead, steps, pairs = frontier if goes is None or h == 1 else frontier.join(goes(h), by, "left_semi"), both, None
+        if worth is not None and 1 < h == hops:
+            pairs = held(worth(ahead, both))
+            ahead = ahead.join(pairs.select(*by).distinct(), by, "left_semi")
             steps = both.join(pairs.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
         reached = ahead.join(steps, ahead["node"] == steps["src"]).drop("node", "src").withColumnRenamed("dst", "node")
         if pairs is not None:

@@ -35,7 +35,7 @@ class Memory:
 def dead_of(relations: DataFrame) -> DataFrame:
     """``(entity_id)``: entities that have relations, but no live one."""
     live = F.col("valid_until").isNull().cast("int").alias("live")
-    ends = relations.select(F.col("subject_id").alias("entity_id"), live).unionByName(relations.select(F.col("object_id").alias("entity_id"), live))
+    ends = relations.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id"), live)
     return ends.groupBy("entity_id").agg(F.max("live").alias("live")).where("live = 0").select("entity_id")
 
 
@@ -95,8 +95,13 @@ def search(
     entity_id, sim, distance, edge_confidence, boost, score, path, rank``; ties are broken by
     distance and id. Chunks come with ``query_id, chunk_id, sim, rank``.
     """
-    direct = graph.held(vectors.top_k(queries, memory.entities, seed_k, "entity_id").select("query_id", "entity_id", "sim"))
-    hits = graph.held(vectors.top_k(queries, memory.chunks, seed_k, "chunk_id"))
+    if not 1 <= hops <= graph.MOST_HOPS:
+        raise ValueError(f"hops must be from 1 to {graph.MOST_HOPS}")
+    taken = vectors.asked(queries)
+    near = [vectors.top_k(queries, rows, seed_k, c, taken=taken).withColumn("met", F.lit(c)) for rows, c in ((memory.entities, "entity_id"), (memory.chunks, "chunk_id"))]
+    near = graph.held(near[0].unionByName(near[1], allowMissingColumns=True))
+    direct = near.where("met = 'entity_id'").select("query_id", "entity_id", "sim")
+    hits = near.where("met = 'chunk_id'").select("query_id", "chunk_id", "sim", "rank")
     docs = graph.held(documents_of(hits, memory.chunks))
     live = memory.relations.where("valid_until IS NULL")
     qualifiers = [(F.col(c) if c in live.columns else F.lit(None)).cast("string").alias(c) for c in QUALIFIERS]
@@ -106,9 +111,9 @@ def search(
 
     # Seeds, once for all queries: the entities of documents, and those that queries meet themselves.
     met = memory.extracted.join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
-    ids = met.select("entity_id").unionByName(direct.select("entity_id")).distinct()
-    alive = graph.held(ids.join(state, "entity_id").join(dead_of(memory.relations), "entity_id", "left_anti"))
-    members = graph.held(met.join(alive, "entity_id"))
+    ids = met.withColumn("itself", F.lit(False)).unionByName(direct.select("entity_id").distinct().withColumn("itself", F.lit(True)), allowMissingColumns=True)
+    places = graph.held(ids.join(state, "entity_id").join(dead_of(memory.relations), "entity_id", "left_anti"))
+    members, alive = places.where("NOT itself").drop("itself"), places.where("itself").select("entity_id", "own")
 
     def scored(rows: DataFrame) -> DataFrame:
         return rows.withColumn("score", score(F.col("sim"), F.col("distance"), F.col("edge_confidence"), F.col("boost"), weights))
@@ -119,23 +124,49 @@ def search(
         firsts = firsts.join(allowed_entities, "entity_id", "left_semi")
     if allowed_entities is None or "query_id" not in allowed_entities.columns:
         firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own"), "entity_id"))).where(F.col("n") <= limit)
-    started = docs.join(firsts.select("doc_id", "entity_id", "own"), "doc_id").select("query_id", "entity_id", "sim", "own").unionByName(direct.join(alive, "entity_id").select("query_id", "entity_id", "sim", "own"))
+    else:
+        firsts = graph.dealt(firsts, "entity_id")
+    started = firsts.select("doc_id", "entity_id", "own").join(F.broadcast(docs), "doc_id").select("query_id", "entity_id", "sim", "own").unionByName(direct.join(alive, "entity_id").select("query_id", "entity_id", "sim", "own"))
     if allowed_entities is not None:
         started = started.join(allowed_entities, [c for c in ("query_id", "entity_id") if c in allowed_entities.columns], "left_semi")
-    start = graph.held(scored(started.select("query_id", "entity_id", "sim", F.lit(0).alias("distance"), F.lit(0.0).alias("edge_confidence"), F.least("own", F.lit(weights.cap)).alias("boost"))))
+    started = scored(started.select("query_id", "entity_id", "sim", F.lit(0).alias("distance"), F.lit(0.0).alias("edge_confidence"), F.least("own", F.lit(weights.cap)).alias("boost")))
+    # Each query's first seeds in the order of results; those after them stay behind, whatever paths add. Dealt by query once.
+    whole = F.struct("sim", "distance", "edge_confidence", "boost", "score")
+    started = started.repartition("query_id").groupBy("query_id", "entity_id").agg(F.max_by(whole, F.struct("score", "sim")).alias("b")).select("query_id", "entity_id", "b.*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    start = graph.held(started.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit))
 
     # What a query's result must reach: the score of its last seed, if it has enough of them. A path from a seed has the score s * B + A * B for a similarity s and a factor B
     # from 1 to ``most``. The greatest s * B - least of a seed's queries is convex in B, so a line through its ends bounds it.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    least = start.groupBy("query_id", "entity_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") == limit).select("query_id", F.col("score").alias("least"))
-    least = graph.held(queries.select("query_id").distinct().join(least, "query_id", "left").select("query_id", F.coalesce("least", F.lit(float("-inf"))).alias("least")))
+    last = start.where(F.col("n") == limit).select("query_id", F.col("score").alias("least"))
+    reach = lambda rows: rows.join(F.broadcast(last), "query_id", "left").na.fill({"least": float("-inf")})
     most = 1 + weights.gamma * weights.cap
+    bounded = weights.gamma >= 0 and weights.cap >= 0
     near = F.lit(weights.alpha) * clamped(F.col("sim"))
     ends = [F.max(near - F.col("least")).alias("low"), F.max(near * most - F.col("least")).alias("high")]
-    of_docs = docs.join(F.broadcast(least), "query_id").groupBy("doc_id").agg(*ends)
-    of_direct = direct.join(F.broadcast(least), "query_id").groupBy("entity_id").agg(*ends)
-    both = members.join(of_docs, "doc_id").select("entity_id", "low", "high").unionByName(of_direct.join(alive.select("entity_id"), "entity_id", "left_semi"))
-    seeds = graph.held(both.groupBy(F.col("entity_id").alias("seed")).agg(F.max("low").alias("low"), F.max("high").alias("high")))
+
+    # No path has more than the best boost of edges and entities and the best confidence.
+    edge = F.struct("access_count", "last_accessed")
+    tops = live.select(boost_of(edge).alias("boost"), clamped(F.col("confidence")).alias("c")).unionByName(state.select(F.col("own").alias("boost")), allowMissingColumns=True)
+    top, sure = tops.agg(F.least(F.max("boost"), F.lit(weights.cap)), F.max("c")).first()
+    top = 1 + weights.gamma * (top or 0.0)
+
+    def farthest() -> Column:
+        """The greatest distance at which a path may reach what is asked, whatever its edges and its end, else null."""
+        at = [F.lit(weights.beta) / (1 + d) + max(weights.delta, 0.0) * (sure or 0.0) for d in range(1, hops + 1)]
+        bound = F.col("low") + (F.col("high") - F.col("low")) * (top - 1) / (most - 1) if most > 1 else F.greatest("low", "high")
+        may = [F.isnan(bound) | (F.greatest(a + F.col("low"), a * top + bound) >= -1e-9) if bounded else F.lit(True) for a in at]
+        return F.greatest(*[F.when(m, d) for d, m in enumerate(may, 1)], F.lit(None).cast("int"))
+
+    # Only of these documents and direct hits may paths be among the results.
+    of_docs = reach(docs).groupBy("doc_id").agg(*ends).withColumn("far", farthest()).where("far IS NOT NULL")
+    of_direct = reach(direct).groupBy("entity_id").agg(*ends).withColumn("far", farthest()).where("far IS NOT NULL")
+    both = members.join(F.broadcast(of_docs), "doc_id").drop("own").unionByName(of_direct.join(alive.select("entity_id"), "entity_id", "left_semi"), allowMissingColumns=True).withColumnRenamed("entity_id", "seed")
+    by_seed = Window.partitionBy("seed")
+    together = {c: F.max(c).over(by_seed) for c in ("low", "high", "far")} | {"n": F.row_number().over(by_seed.orderBy("doc_id"))}
+    sources = graph.held(both.withColumn("itself", F.col("doc_id").isNull()).withColumns(together))
+    seeds = sources.where("n = 1").select("seed", "low", "high", "far")
+    farther = seeds.agg(F.max("far")).first()[0] or 1
 
     def reaches(distance, confidence: Column, boost: Column) -> Column:
         factor = 1 + F.lit(weights.gamma) * boost
@@ -152,19 +183,20 @@ def search(
         ahead = frontier.join(seeds, "seed").select("seed", F.col("node").alias("src"), total(F.col("path")).alias("c"), edge_boost(F.col("path")).alias("b"), "low", "high")
         on = steps.select("src", F.col("dst").alias("entity_id"), F.col("step.confidence").alias("c2"), boost_of(F.col("step")).alias("b2")).join(state, "entity_id")
         boost = F.least(F.greatest("b", "b2", "own"), F.lit(weights.cap))
-        return ahead.join(on, "src").where(reaches(hops, (F.col("c") + F.col("c2")) / hops, boost)).select("seed", F.col("entity_id").alias("node")).distinct()
+        return ahead.join(on, "src").where(reaches(farther, (F.col("c") + F.col("c2")) / farther, boost)).select("seed", F.col("entity_id").alias("node")).distinct()
 
-    bounded = weights.gamma >= 0 and weights.cap >= 0
-    paths = graph.shortest_paths(seeds.select("seed"), live, hops, step, worth=worth if bounded else None)
+    paths = graph.shortest_paths(seeds.select("seed"), live, farther, step, worth=worth if bounded else None, goes=lambda h: seeds.where(F.col("far") >= h).select("seed"))
     path = F.col("path")
     reached = paths.withColumnRenamed("target", "entity_id").join(state, "entity_id").join(seeds, "seed")
     reached = reached.select("seed", "entity_id", "distance", "path", (total(path) / F.col("distance")).alias("edge_confidence"), F.least(F.greatest(edge_boost(path), F.col("own")), F.lit(weights.cap)).alias("boost"), "low", "high")
     reached = graph.held((reached.where(reaches(F.col("distance"), F.col("edge_confidence"), F.col("boost"))) if bounded else reached).drop("low", "high"))
-    by_doc = docs.join(members.select("doc_id", F.col("entity_id").alias("seed")).join(reached, "seed"), "doc_id").drop("doc_id", "seed")
+    # Sources of seeds before their queries.
+    from_source = sources.select("doc_id", "seed", "itself").join(reached, "seed")
+    by_doc = from_source.where("NOT itself").join(F.broadcast(docs), "doc_id").drop("doc_id", "seed", "itself")
     by_self = direct.withColumnRenamed("entity_id", "seed").join(reached, "seed").drop("seed")
-    spread = scored(by_doc.unionByName(by_self)).join(F.broadcast(least), "query_id").where(F.col("score") >= F.col("least") - 1e-9).drop("least")
+    spread = reach(scored(by_doc.unionByName(by_self))).where(F.col("score") >= F.col("least") - 1e-9).drop("least")
     none = F.from_json(F.lit("[]"), paths.schema["path"].dataType)
-    best = start.withColumn("path", none).unionByName(spread).groupBy("query_id", "entity_id").agg(
+    best = start.drop("n").withColumn("path", none).unionByName(spread).repartition("query_id").groupBy("query_id", "entity_id").agg(
         F.max_by(F.struct("sim", "distance", "edge_confidence", "boost", "score", "path"), F.struct("score", -F.col("distance"), "sim")).alias("b")
     ).select("query_id", "entity_id", "b.*")
     if allowed_entities is not None:
@@ -199,6 +231,13 @@ def touches_of(entities: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def touched(entities: DataFrame, at: Column) -> DataFrame:
+    """The same as one log ``(kind, id, ts)``, from one pass over what a search returned."""
+    one = lambda kind, of: F.struct(F.lit(kind).alias("kind"), of.cast("string").alias("id"))
+    ids = F.concat(F.array(one("entity", F.col("entity_id"))), F.transform("path", lambda p: one("edge", p["edge_id"])))
+    return entities.select(F.explode(ids).alias("t")).select("t.kind", "t.id").distinct().withColumn("ts", at)
+
+
 def vector_only(memory: Memory, queries: DataFrame, k: int = 5, limit: int | None = None) -> DataFrame:
     """``(query_id, entity_id, sim, rank)``: direct hits, then entities of hit chunks' documents with a similarity of 0; with ``limit`` the first ones of each query.
 
@@ -253,4 +292,4 @@ def allow_entities(scope: DataFrame, turns: DataFrame, mentions: DataFrame) -> D
     return both.unionByName(only_session).unionByName(only_time)
 
 
-__all__ = ["Memory", "allow_entities", "as_documents", "chunks_of", "documents_of", "graph_only", "hydrate", "labels_of", "propagate", "search", "seeds_of", "touches_of", "vector_only"]
+__all__ = ["Memory", "allow_entities", "as_documents", "chunks_of", "documents_of", "graph_only", "hydrate", "labels_of", "propagate", "search", "seeds_of", "touched", "touches_of", "vector_only"]

@@ -57,7 +57,26 @@ def first_of_each(found: pa.Table, k: int) -> pa.Table:
     return ordered.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < k)))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False) -> DataFrame:
+def asked(queries: DataFrame, most_queries: int = 5_000, same_type: bool = False) -> list[tuple]:
+    """``queries`` collected as ``top_k`` compares them, which several calls may share: for each round ``(__q, query_id)`` as a frame, and the numbers, vectors by length and types, broadcast."""
+    rounds = max(1, -(-queries.count() // most_queries))
+    q = queries.select("query_id", "embedding", *(["type"] if same_type else []))
+    taken = []
+    for r in range(rounds):
+        part = (q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).withColumn("__q", F.row_number().over(Window.orderBy("query_id")))
+        found = part.toArrow()
+        part = queries.sparkSession.createDataFrame(found.select(["__q", "query_id"]))
+        numbers = found["__q"].to_numpy()
+        kinds = np.array(found["type"].to_pylist(), dtype=object) if same_type else None
+        lists = found["embedding"].combine_chunks()
+        lengths = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64), nan=-1).astype(np.int64)
+        # Queries of each length, which are compared with items of that length; those without a vector with none.
+        asks = [(size, unit_matrix(lists.filter(pa.array(lengths == size)), max(size, 0)), np.flatnonzero(lengths == size)) for size in np.unique(lengths).tolist()]
+        taken.append((part, len(numbers), queries.sparkSession.sparkContext.broadcast((asks, numbers, kinds))))
+    return taken
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False, taken: list[tuple] | None = None) -> DataFrame:
     """``(query_id, <item_id>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
 
     Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix in single precision;
@@ -65,27 +84,15 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
     each task and query go on, without vectors. More queries are taken in that many rounds. For ``MANY`` queries items are dealt
     out first, once for all rounds, so that a table that one task reads is compared by all. ``same_type`` also asks for
     equal types; null types equal none. Items whose vector is null or of another length have a null similarity and come last.
+    ``taken`` are the same queries as ``asked`` gave them before.
     """
-    n = queries.count()
-    rounds = max(1, -(-n // most_queries))
-    typed = ["type"] if same_type else []
-    q = queries.select("query_id", "embedding", *typed)
+    taken = asked(queries, most_queries, same_type) if taken is None else taken
     # One batch has all types, so a type's matches are found among those of its own.
-    i = items.select(item_id, "embedding", *typed)
-    i = i.repartition(item_id) if n >= MANY else i
+    i = items.select(item_id, "embedding", *(["type"] if same_type else []))
+    i = i.repartition(item_id) if sum(n for _, n, _ in taken) >= MANY else i
     schema = items.select(F.lit(0).alias("__q"), item_id, F.lit(None).cast("double").alias("sim")).schema
     found = None
-    for r in range(rounds):
-        part = (q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).withColumn("__q", F.row_number().over(Window.orderBy("query_id")))
-        asked = part.toArrow()
-        part = queries.sparkSession.createDataFrame(asked.select(["__q", "query_id"]))
-        numbers = asked["__q"].to_numpy()
-        kinds = np.array(asked["type"].to_pylist(), dtype=object) if same_type else None
-        lists = asked["embedding"].combine_chunks()
-        lengths = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.float64), nan=-1).astype(np.int64)
-        # Queries of each length, which are compared with items of that length; those without a vector with none.
-        asks = [(size, unit_matrix(lists.filter(pa.array(lengths == size)), max(size, 0)), np.flatnonzero(lengths == size)) for size in np.unique(lengths).tolist()]
-        known = queries.sparkSession.sparkContext.broadcast((asks, numbers, kinds))
+    for part, _, known in taken:
 
         def rows(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             asks, numbers, kinds = known.value

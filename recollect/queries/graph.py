@@ -122,8 +122,7 @@ def reinforce_log(spark, sf_dir):
     """What a search touches: entities and edges on their paths."""
     memory = M.vector_memory(spark, sf_dir)
     found, _ = retrieve.search(memory, M.vector_queries(spark, sf_dir), F.expr(M.NOW))
-    nodes, edges = retrieve.touches_of(found, F.expr(M.NOW))
-    return nodes.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), "ts").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), "ts"))
+    return retrieve.touched(found, F.expr(M.NOW))
 
 
 def status_counts(spark, sf_dir):
