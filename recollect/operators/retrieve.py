@@ -219,7 +219,7 @@ def as_documents(found: DataFrame, chunks: DataFrame, entities: DataFrame, passa
     named = found.join(entities.select("entity_id", "name", "type"), "entity_id")
     first = named.select("query_id", F.lit("entity").alias("kind"), F.col("rank").alias("position"), F.col("entity_id").alias("id"), entity_header(F.col("name"), F.col("type"), F.col("distance"), labels_of(F.col("path"))).alias("content"), "score")
     many = found.groupBy("query_id").agg(F.max("rank").alias("many"))
-    then = chunks.join(passages.select("chunk_id", "text"), "chunk_id").join(many, "query_id", "left")
+    then = passages.select("chunk_id", "text").join(F.broadcast(chunks), "chunk_id").join(many, "query_id", "left")
     place = (F.coalesce("many", F.lit(0)) + F.col("rank")).alias("position")
     return first.unionByName(then.select("query_id", F.lit("chunk").alias("kind"), place, F.col("chunk_id").alias("id"), F.col("text").alias("content"), F.col("sim").alias("score")))
 

@@ -94,7 +94,7 @@ def retriever_rows(spark, sf_dir):
     """The entities and then the chunks of each query as documents."""
     memory = M.vector_memory(spark, sf_dir)
     found, chunks = retrieve.search(memory, M.vector_queries(spark, sf_dir), F.expr(M.NOW))
-    return retrieve.as_documents(found, chunks, memory.entities, M.passages(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return retrieve.as_documents(graph.held(found), chunks, memory.entities, M.passages(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def scoped_retrieve(spark, sf_dir):
