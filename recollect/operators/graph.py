@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_HOPS = 5
@@ -13,13 +16,13 @@ MOST_HOPS = 5
 def undirected(edges: DataFrame) -> DataFrame:
     """``(src, dst, edge_id, ...)`` in both directions without self-loops, from ``edges(edge_id, subject_id, object_id, ...)``."""
     rest = [c for c in edges.columns if c not in ("subject_id", "object_id")]
-    there = edges.where("subject_id <> object_id")
-    return there.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), *rest).unionByName(
-        there.select(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), *rest)
-    )
+    # Both from one pass over the edges.
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    ways = F.explode(F.array(way("subject_id", "object_id"), way("object_id", "subject_id")))
+    return edges.where("subject_id <> object_id").select(ways.alias("way"), *rest).select("way.src", "way.dst", *rest)
 
 
-def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None, worth: Callable[[DataFrame, DataFrame], DataFrame] | None = None, goes: Callable[[int], DataFrame] | None = None) -> DataFrame:
+def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column | None = None, group: list[str] | None = None, worth: Callable[[DataFrame, DataFrame], DataFrame] | None = None, goes: Callable[[int], DataFrame] | None = None, few: bool = False) -> DataFrame:
     """``(<group>, seed, target, distance[, path])``: one shortest path from each seed to each node it reaches, the seed itself left out.
 
     ``seeds(<group>, seed)`` may be grouped by a query. ``carry`` is a struct of an edge's
@@ -31,6 +34,7 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
     ``worth(frontier, steps)`` may name the pairs ``(<group>, seed, node)`` of ``frontier`` joined with ``steps(src, dst, step)``
     that matter; of those that only the last of several hops reaches, no others are returned. ``goes(h)`` may name the seeds ``(<group>, seed)``
     of which something at a distance of ``h`` or more matters; others go no further.
+    ``few`` seeds are sent to the edges, which then need not move.
     """
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be from 1 to {MOST_HOPS}")
@@ -51,6 +55,7 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
             pairs = held(worth(ahead, both))
             ahead = ahead.join(pairs.select(*by).distinct(), by, "left_semi")
             steps = both.join(pairs.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+        ahead = F.broadcast(ahead) if few and h == 1 else ahead
         reached = ahead.join(steps, ahead["node"] == steps["src"]).drop("node", "src").withColumnRenamed("dst", "node")
         if pairs is not None:
             reached = reached.join(pairs, [*by, "node"], "left_semi")
@@ -58,7 +63,8 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int, carry: Column
             reached = reached.withColumn("path", F.array_append("path", F.col("step"))).drop("step").groupBy(*by, "node").agg(F.min("path").alias("path"))
         else:
             reached = reached.select(*by, "node").distinct()
-        frontier = reached.join(seen, [*by, "node"], "left_anti")
+        # The first hop reaches no seed itself, as edges have two ends.
+        frontier = reached.join(seen, [*by, "node"], "left_anti") if h > 1 else reached
         if h < hops:
             frontier = held(frontier)
             seen = seen.unionByName(frontier.select(*by, "node"))
@@ -73,6 +79,12 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint() if has else df.cache()
 
 
+def at_once(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """What each of the jobs gives, run at the same time: small ones leave most of a cluster idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     """``df`` dealt out by ``by`` to as many tasks as a shuffle has, for rows of which each becomes many: one task may have read them all."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -8,14 +8,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import Weights, clamped, reinforcement, score
 from ..functions.text import edge_label, entity_header
 from . import graph, vectors
 from .facts import QUALIFIERS
 
+#: So many seeds are sent to every task.
+FEW = 20_000
+
 
 @dataclass
 class Memory:
@@ -71,8 +78,9 @@ def seeds_of(memory: Memory, queries: DataFrame, seed_k: int) -> tuple[DataFrame
 def chunks_of(memory: Memory, queries: DataFrame, chunk_limit: int = 3, seed_k: int = 5, allowed_chunks: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """The chunks ``(query_id, chunk_id, sim, rank)`` of a search, ``hits`` if they are known already."""
     hits = vectors.top_k(queries, memory.chunks, seed_k, "chunk_id") if hits is None else hits
-    if allowed_chunks is not None:
-        hits = hits.join(allowed_chunks, ["query_id", "chunk_id"], "left_semi")
+    if allowed_chunks is None:
+        return hits.where(F.col("rank") <= chunk_limit)
+    hits = hits.join(allowed_chunks, ["query_id", "chunk_id"], "left_semi")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= chunk_limit)
 
 
@@ -97,22 +105,41 @@ def search(
     """
     if not 1 <= hops <= graph.MOST_HOPS:
         raise ValueError(f"hops must be from 1 to {graph.MOST_HOPS}")
-    taken = vectors.asked(queries)
-    near = [vectors.top_k(queries, rows, seed_k, c, taken=taken).withColumn("met", F.lit(c)) for rows, c in ((memory.entities, "entity_id"), (memory.chunks, "chunk_id"))]
-    near = graph.held(near[0].unionByName(near[1], allowMissingColumns=True))
-    direct = near.where("met = 'entity_id'").select("query_id", "entity_id", "sim")
-    hits = near.where("met = 'chunk_id'").select("query_id", "chunk_id", "sim", "rank")
-    docs = graph.held(documents_of(hits, memory.chunks))
+    spark, taken = queries.sparkSession, vectors.asked(queries)
+    near = [vectors.top_k(queries, rows, seed_k, c, taken=taken, carry=also).withColumn("met", F.lit(c)) for rows, c, also in ((memory.entities, "entity_id", ()), (memory.chunks, "chunk_id", ("doc_id",)))]
+    near = near[0].unionByName(near[1], allowMissingColumns=True)
+    shape = near.schema
     live = memory.relations.where("valid_until IS NULL")
     qualifiers = [(F.col(c) if c in live.columns else F.lit(None)).cast("string").alias(c) for c in QUALIFIERS]
     step = F.struct(F.col("edge_id").cast("string").alias("edge_id"), "type", "subtype", "confidence", "access_count", F.col("last_accessed").cast("string").alias("last_accessed"), *qualifiers)
     boost_of = lambda x: reinforcement(x["access_count"], x["last_accessed"].cast("timestamp"), now, weights)
     state = memory.entities.where("canonical").select("entity_id", reinforcement(F.col("access_count"), F.col("last_accessed"), now, weights).alias("own"))
 
+    # No path has more than the best boost of edges and entities and the best confidence.
+    edge = F.struct("access_count", "last_accessed")
+    tops = live.select(boost_of(edge).alias("boost"), clamped(F.col("confidence")).alias("c")).unionByName(state.select(F.col("own").alias("boost")), allowMissingColumns=True)
+    tops = tops.agg(F.least(F.max("boost"), F.lit(weights.cap)), F.max("c"))
+
+    # What needs nothing of each other is found at the same time. What queries met, a few rows for each, stays with their vectors in the driver.
+    living = state.join(dead_of(memory.relations), "entity_id", "left_anti")
+    near, (top, sure), living = graph.at_once(spark, near.toArrow, tops.first, lambda: graph.held(living))
+    top = 1 + weights.gamma * (top or 0.0)
+
+    def local(rows: pa.Table, *more: T.StructField) -> DataFrame:
+        known = {f.name: f for f in (*shape, *more)}
+        return spark.createDataFrame(rows, T.StructType([known[c] for c in rows.column_names]))
+
+    direct_rows = near.filter(pc.equal(near["met"], "entity_id")).select(["query_id", "entity_id", "sim"])
+    hit_rows = near.filter(pc.equal(near["met"], "chunk_id")).select(["query_id", "chunk_id", "doc_id", "sim", "rank"])
+    doc_rows = hit_rows.filter(pc.and_(pc.is_valid(hit_rows["chunk_id"]), pc.is_valid(hit_rows["doc_id"])))
+    doc_rows = doc_rows.group_by(["query_id", "doc_id"]).aggregate([("sim", "max")]).select(["query_id", "doc_id", "sim_max"]).rename_columns(["query_id", "doc_id", "sim"])
+    direct, hits, docs = local(direct_rows), local(hit_rows.drop_columns("doc_id")), local(doc_rows)
+    each = lambda rows, c: local(pa.table({c: pc.unique(rows[c])}))
+
     # Seeds, once for all queries: the entities of documents, and those that queries meet themselves.
-    met = memory.extracted.join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
-    ids = met.withColumn("itself", F.lit(False)).unionByName(direct.select("entity_id").distinct().withColumn("itself", F.lit(True)), allowMissingColumns=True)
-    places = graph.held(ids.join(state, "entity_id").join(dead_of(memory.relations), "entity_id", "left_anti"))
+    met = memory.extracted.join(F.broadcast(each(doc_rows, "doc_id")), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
+    ids = met.withColumn("itself", F.lit(False)).unionByName(each(direct_rows, "entity_id").withColumn("itself", F.lit(True)), allowMissingColumns=True)
+    places = graph.held(ids.join(living, "entity_id"))
     members, alive = places.where("NOT itself").drop("itself"), places.where("itself").select("entity_id", "own")
 
     def scored(rows: DataFrame) -> DataFrame:
@@ -138,35 +165,38 @@ def search(
 
     # What a query's result must reach: the score of its last seed, if it has enough of them. A path from a seed has the score s * B + A * B for a similarity s and a factor B
     # from 1 to ``most``. The greatest s * B - least of a seed's queries is convex in B, so a line through its ends bounds it.
-    last = start.where(F.col("n") == limit).select("query_id", F.col("score").alias("least"))
+    last_rows = start.where(F.col("n") == limit).select("query_id", F.col("score").alias("least")).toArrow()
+    last = local(last_rows, T.StructField("least", T.DoubleType()))
     reach = lambda rows: rows.join(F.broadcast(last), "query_id", "left").na.fill({"least": float("-inf")})
     most = 1 + weights.gamma * weights.cap
     bounded = weights.gamma >= 0 and weights.cap >= 0
-    near = F.lit(weights.alpha) * clamped(F.col("sim"))
-    ends = [F.max(near - F.col("least")).alias("low"), F.max(near * most - F.col("least")).alias("high")]
-
-    # No path has more than the best boost of edges and entities and the best confidence.
-    edge = F.struct("access_count", "last_accessed")
-    tops = live.select(boost_of(edge).alias("boost"), clamped(F.col("confidence")).alias("c")).unionByName(state.select(F.col("own").alias("boost")), allowMissingColumns=True)
-    top, sure = tops.agg(F.least(F.max("boost"), F.lit(weights.cap)), F.max("c")).first()
-    top = 1 + weights.gamma * (top or 0.0)
 
-    def farthest() -> Column:
-        """The greatest distance at which a path may reach what is asked, whatever its edges and its end, else null."""
-        at = [F.lit(weights.beta) / (1 + d) + max(weights.delta, 0.0) * (sure or 0.0) for d in range(1, hops + 1)]
-        bound = F.col("low") + (F.col("high") - F.col("low")) * (top - 1) / (most - 1) if most > 1 else F.greatest("low", "high")
-        may = [F.isnan(bound) | (F.greatest(a + F.col("low"), a * top + bound) >= -1e-9) if bounded else F.lit(True) for a in at]
-        return F.greatest(*[F.when(m, d) for d, m in enumerate(may, 1)], F.lit(None).cast("int"))
+    kinds = [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("far", T.IntegerType())]
+
+    def ends_of(rows: pa.Table, by: str) -> DataFrame:
+        """``(<by>, low, high, far)``: those of ``rows(query_id, <by>, sim)`` from which a path may reach what is asked, at the distance ``far`` at most, whatever its edges and its end."""
+        met = rows.join(last_rows, "query_id")
+        least = met["least"].fill_null(float("-inf")).to_numpy()
+        close = weights.alpha * np.clip(met["sim"].fill_null(0.0).to_numpy(), 0.0, 1.0)
+        met = pa.table({by: met[by], "low": close - least, "high": close * most - least}).group_by(by).aggregate([("low", "max"), ("high", "max")])
+        low, high = met["low_max"].to_numpy(), met["high_max"].to_numpy()
+        far = np.zeros(len(met), dtype=np.int32)
+        with np.errstate(invalid="ignore"):
+            bound = low + (high - low) * (top - 1) / (most - 1) if most > 1 else np.maximum(low, high)
+            for d in range(1, hops + 1):
+                at = weights.beta / (1 + d) + max(weights.delta, 0.0) * (sure or 0.0)
+                far[(not bounded) | np.isnan(bound) | (np.maximum(at + low, at * top + bound) >= -1e-9)] = d
+        return local(pa.table({by: met[by], "low": low, "high": high, "far": far}).filter(pa.array(far > 0)), *kinds)
 
     # Only of these documents and direct hits may paths be among the results.
-    of_docs = reach(docs).groupBy("doc_id").agg(*ends).withColumn("far", farthest()).where("far IS NOT NULL")
-    of_direct = reach(direct).groupBy("entity_id").agg(*ends).withColumn("far", farthest()).where("far IS NOT NULL")
-    both = members.join(F.broadcast(of_docs), "doc_id").drop("own").unionByName(of_direct.join(alive.select("entity_id"), "entity_id", "left_semi"), allowMissingColumns=True).withColumnRenamed("entity_id", "seed")
+    of_docs, of_direct = ends_of(doc_rows, "doc_id"), ends_of(direct_rows, "entity_id")
+    both = members.join(F.broadcast(of_docs), "doc_id").drop("own").unionByName(alive.select("entity_id").distinct().join(F.broadcast(of_direct), "entity_id"), allowMissingColumns=True).withColumnRenamed("entity_id", "seed")
     by_seed = Window.partitionBy("seed")
     together = {c: F.max(c).over(by_seed) for c in ("low", "high", "far")} | {"n": F.row_number().over(by_seed.orderBy("doc_id"))}
     sources = graph.held(both.withColumn("itself", F.col("doc_id").isNull()).withColumns(together))
     seeds = sources.where("n = 1").select("seed", "low", "high", "far")
-    farther = seeds.agg(F.max("far")).first()[0] or 1
+    farther, many = seeds.agg(F.max("far"), F.count(F.lit(1))).first()
+    farther = farther or 1
 
     def reaches(distance, confidence: Column, boost: Column) -> Column:
         factor = 1 + F.lit(weights.gamma) * boost
@@ -181,13 +211,14 @@ def search(
 
     def worth(frontier: DataFrame, steps: DataFrame) -> DataFrame:
         ahead = frontier.join(seeds, "seed").select("seed", F.col("node").alias("src"), total(F.col("path")).alias("c"), edge_boost(F.col("path")).alias("b"), "low", "high")
-        on = steps.select("src", F.col("dst").alias("entity_id"), F.col("step.confidence").alias("c2"), boost_of(F.col("step")).alias("b2")).join(state, "entity_id")
+        on = steps.select("src", F.col("dst").alias("entity_id"), F.col("step.confidence").alias("c2"), boost_of(F.col("step")).alias("b2")).join(living, "entity_id")
         boost = F.least(F.greatest("b", "b2", "own"), F.lit(weights.cap))
         return ahead.join(on, "src").where(reaches(farther, (F.col("c") + F.col("c2")) / farther, boost)).select("seed", F.col("entity_id").alias("node")).distinct()
 
-    paths = graph.shortest_paths(seeds.select("seed"), live, farther, step, worth=worth if bounded else None, goes=lambda h: seeds.where(F.col("far") >= h).select("seed"))
+    paths = graph.shortest_paths(seeds.select("seed"), live, farther, step, worth=worth if bounded else None, goes=lambda h: seeds.where(F.col("far") >= h).select("seed"), few=many <= FEW)
     path = F.col("path")
-    reached = paths.withColumnRenamed("target", "entity_id").join(state, "entity_id").join(seeds, "seed")
+    # What a live relation reaches is alive.
+    reached = paths.withColumnRenamed("target", "entity_id").join(living, "entity_id").join(F.broadcast(seeds) if many <= FEW else seeds, "seed")
     reached = reached.select("seed", "entity_id", "distance", "path", (total(path) / F.col("distance")).alias("edge_confidence"), F.least(F.greatest(edge_boost(path), F.col("own")), F.lit(weights.cap)).alias("boost"), "low", "high")
     reached = graph.held((reached.where(reaches(F.col("distance"), F.col("edge_confidence"), F.col("boost"))) if bounded else reached).drop("low", "high"))
     # Sources of seeds before their queries.

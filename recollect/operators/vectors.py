@@ -76,21 +76,21 @@ def asked(queries: DataFrame, most_queries: int = 5_000, same_type: bool = False
     return taken
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False, taken: list[tuple] | None = None) -> DataFrame:
-    """``(query_id, <item_id>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
+def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id", most_queries: int = 5_000, same_type: bool = False, taken: list[tuple] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(query_id, <item_id>, <carry>, sim, rank)``: each query's ``k`` nearest items by cosine, ties by id.
 
     Queries are collected, ``most_queries`` at a time, and each batch of items is multiplied with their matrix in single precision;
     what may be among the ``k`` nearest is compared again in doubles, by the sum in the order of coordinates, and ``k`` rows for
     each task and query go on, without vectors. More queries are taken in that many rounds. For ``MANY`` queries items are dealt
     out first, once for all rounds, so that a table that one task reads is compared by all. ``same_type`` also asks for
     equal types; null types equal none. Items whose vector is null or of another length have a null similarity and come last.
-    ``taken`` are the same queries as ``asked`` gave them before.
+    ``taken`` are the same queries as ``asked`` gave them before. ``carry`` names columns of the items that go on with them.
     """
     taken = asked(queries, most_queries, same_type) if taken is None else taken
     # One batch has all types, so a type's matches are found among those of its own.
-    i = items.select(item_id, "embedding", *(["type"] if same_type else []))
+    i = items.select(item_id, "embedding", *(["type"] if same_type and "type" not in carry else []), *carry)
     i = i.repartition(item_id) if sum(n for _, n, _ in taken) >= MANY else i
-    schema = items.select(F.lit(0).alias("__q"), item_id, F.lit(None).cast("double").alias("sim")).schema
+    schema = items.select(F.lit(0).alias("__q"), item_id, *carry, F.lit(None).cast("double").alias("sim")).schema
     found = None
     for part, _, known in taken:
 
@@ -118,7 +118,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
                             for first in range(0, len(row), 200_000):
                                 a, b = row[first : first + 200_000], column[first : first + 200_000]
                                 exact = np.where(np.isnan(sims[a, b]), np.nan, in_order(some[b], asking[a]))
-                                held.append(pa.table({"q": at_size[queries_of[a]], "sim": exact, "id": batch.column(item_id).take(pa.array(items_of[b]))}))
+                                held.append(pa.table({"q": at_size[queries_of[a]], "sim": exact, "id": batch.column(item_id).take(pa.array(items_of[b]))} | {f"+{c}": batch.column(c).take(pa.array(items_of[b])) for c in carry}))
                                 new += len(a)
                     if new > k * len(numbers) // 2:
                         best = first_of_each(pa.concat_tables(held), k)
@@ -129,10 +129,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, item_id: str = "item_id"
             if held:
                 best = first_of_each(pa.concat_tables(held), k)
                 sims = best["sim"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[best["q"].to_numpy()], pa.int32()), best["id"].combine_chunks(), pa.array(sims, mask=np.isnan(sims))], ["__q", item_id, "sim"])
+                with_them = [best[f"+{c}"].combine_chunks() for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[best["q"].to_numpy()], pa.int32()), best["id"].combine_chunks(), *with_them, pa.array(sims, mask=np.isnan(sims))], ["__q", item_id, *carry, "sim"])
 
         near = i.mapInArrow(rows, schema)
-        scored = near.join(F.broadcast(part), "__q").select("query_id", item_id, "sim")
+        scored = near.join(F.broadcast(part), "__q").select("query_id", item_id, *carry, "sim")
         order = Window.partitionBy("query_id").orderBy(F.desc("sim"), item_id)
         ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)

@@ -73,7 +73,7 @@ def _search(spark, sf_dir):
     named = found.join(memory.entities.select("entity_id", "name", "type"), "entity_id")
     entity = F.struct("rank", "name", "type", F.round("score", 6).alias("score"), F.transform("path", lambda x: x["type"]).alias("path_edge_types"), retrieve.labels_of(F.col("path")).alias("labels"))
     chunk = F.struct("rank", "text", "title", "doc_id", F.round("sim", 6).alias("score"))
-    said = M.passages(spark, sf_dir).join(F.broadcast(chunks), ["chunk_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    said = M.passages(spark, sf_dir, memory).join(F.broadcast(chunks), ["chunk_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
     return named.groupBy("query_id").agg(F.array_sort(F.collect_list(entity)).alias("entities")).join(said, "query_id", "left")
 
 
