@@ -121,8 +121,11 @@ def search(
     tops = tops.agg(F.least(F.max("boost"), F.lit(weights.cap)), F.max("c"))
 
     # What needs nothing of each other is found at the same time. What queries met, a few rows for each, stays with their vectors in the driver.
-    living = state.join(dead_of(memory.relations), "entity_id", "left_anti")
-    near, (top, sure), living = graph.at_once(spark, near.toArrow, tops.first, lambda: graph.held(living))
+    def of_data() -> tuple[DataFrame, DataFrame]:
+        living = graph.held(state.join(dead_of(memory.relations), "entity_id", "left_anti"))
+        return living, graph.held(memory.extracted.where("doc_id IS NOT NULL").select("doc_id", "entity_id").distinct().join(living, "entity_id"))
+
+    near, (top, sure), (living, in_docs) = graph.at_once(spark, near.toArrow, tops.first, of_data)
     top = 1 + weights.gamma * (top or 0.0)
 
     def local(rows: pa.Table, *more: T.StructField) -> DataFrame:
@@ -137,10 +140,8 @@ def search(
     each = lambda rows, c: local(pa.table({c: pc.unique(rows[c])}))
 
     # Seeds, once for all queries: the entities of documents, and those that queries meet themselves.
-    met = memory.extracted.join(F.broadcast(each(doc_rows, "doc_id")), "doc_id", "left_semi").select("doc_id", "entity_id").distinct()
-    ids = met.withColumn("itself", F.lit(False)).unionByName(each(direct_rows, "entity_id").withColumn("itself", F.lit(True)), allowMissingColumns=True)
-    places = graph.held(ids.join(living, "entity_id"))
-    members, alive = places.where("NOT itself").drop("itself"), places.where("itself").select("entity_id", "own")
+    members = in_docs.join(F.broadcast(each(doc_rows, "doc_id")), "doc_id", "left_semi").select("doc_id", "entity_id", "own")
+    alive = living.join(F.broadcast(each(direct_rows, "entity_id")), "entity_id", "left_semi").select("entity_id", "own")
 
     def scored(rows: DataFrame) -> DataFrame:
         return rows.withColumn("score", score(F.col("sim"), F.col("distance"), F.col("edge_confidence"), F.col("boost"), weights))
@@ -161,11 +162,13 @@ def search(
     whole = F.struct("sim", "distance", "edge_confidence", "boost", "score")
     started = started.repartition("query_id").groupBy("query_id", "entity_id").agg(F.max_by(whole, F.struct("score", "sim")).alias("b")).select("query_id", "entity_id", "b.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
-    start = graph.held(started.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit))
+    start = started.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+    start_rows, start_kinds = start.toArrow(), start.schema
+    start = spark.createDataFrame(start_rows, start_kinds)
 
     # What a query's result must reach: the score of its last seed, if it has enough of them. A path from a seed has the score s * B + A * B for a similarity s and a factor B
     # from 1 to ``most``. The greatest s * B - least of a seed's queries is convex in B, so a line through its ends bounds it.
-    last_rows = start.where(F.col("n") == limit).select("query_id", F.col("score").alias("least")).toArrow()
+    last_rows = start_rows.filter(pc.equal(start_rows["n"], limit)).select(["query_id", "score"]).rename_columns(["query_id", "least"])
     last = local(last_rows, T.StructField("least", T.DoubleType()))
     reach = lambda rows: rows.join(F.broadcast(last), "query_id", "left").na.fill({"least": float("-inf")})
     most = 1 + weights.gamma * weights.cap
@@ -220,12 +223,13 @@ def search(
     # What a live relation reaches is alive.
     reached = paths.withColumnRenamed("target", "entity_id").join(living, "entity_id").join(F.broadcast(seeds) if many <= FEW else seeds, "seed")
     reached = reached.select("seed", "entity_id", "distance", "path", (total(path) / F.col("distance")).alias("edge_confidence"), F.least(F.greatest(edge_boost(path), F.col("own")), F.lit(weights.cap)).alias("boost"), "low", "high")
-    reached = graph.held((reached.where(reaches(F.col("distance"), F.col("edge_confidence"), F.col("boost"))) if bounded else reached).drop("low", "high"))
-    # Sources of seeds before their queries.
-    from_source = sources.select("doc_id", "seed", "itself").join(reached, "seed")
-    by_doc = from_source.where("NOT itself").join(F.broadcast(docs), "doc_id").drop("doc_id", "seed", "itself")
-    by_self = direct.withColumnRenamed("entity_id", "seed").join(reached, "seed").drop("seed")
-    spread = reach(scored(by_doc.unionByName(by_self))).where(F.col("score") >= F.col("least") - 1e-9).drop("least")
+    reached = (reached.where(reaches(F.col("distance"), F.col("edge_confidence"), F.col("boost"))) if bounded else reached).drop("low", "high")
+    # Sources of seeds before their queries; a direct hit is like a document of its own.
+    from_source = sources.select("doc_id", "seed", F.when(F.col("itself"), F.col("seed")).alias("self")).join(reached, "seed").drop("seed").alias("s")
+    asked = docs.withColumn("self", F.lit(None).cast(shape["entity_id"].dataType)).unionByName(direct.where("entity_id IS NOT NULL").withColumnRenamed("entity_id", "self"), allowMissingColumns=True).alias("a")
+    same = F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("s.self").eqNullSafe(F.col("a.self"))
+    met = from_source.join(F.broadcast(asked), same).select("query_id", "sim", "entity_id", "distance", "path", "edge_confidence", "boost")
+    spread = reach(scored(met)).where(F.col("score") >= F.col("least") - 1e-9).drop("least")
     none = F.from_json(F.lit("[]"), paths.schema["path"].dataType)
     best = start.drop("n").withColumn("path", none).unionByName(spread).repartition("query_id").groupBy("query_id", "entity_id").agg(
         F.max_by(F.struct("sim", "distance", "edge_confidence", "boost", "score", "path"), F.struct("score", -F.col("distance"), "sim")).alias("b")
